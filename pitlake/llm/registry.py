@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pitlake.llm.bpe import op6_bpe
 from pitlake.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 
 QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
+    "op6_bpe": op6_bpe,
 }
 ORACLES = {
     "op3_exact_dedup": OP3_SQL,
