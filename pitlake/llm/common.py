@@ -59,6 +59,12 @@ def salted(df: DataFrame, hot: DataFrame, key: str, by: Column, salts: int) -> D
     ).drop("_hot")
 
 
+def small_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", most: int = 50_000) -> DataFrame:
+    """Join with a table by node; that side is broadcast only if it has at most `most` rows (a few MB)."""
+    few = small.limit(most + 1).count() <= most
+    return big.join(F.broadcast(small) if few else small, on, how)
+
+
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """Connected components of edges (src, dst): one row (id, component) per vertex, component the smallest id.
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pitlake.llm.common import cut
+from pitlake.llm.common import cut, small_join
 
 RANGE_ROWS = 4096
 PATH = ["domain", "lang", "source"]
@@ -112,12 +112,6 @@ def mix(
     return out.withColumn("_copies", copies.cast("int")).where("_copies > 0").select(docs.columns + ["_domain", "_n_tokens", "_copies"])
 
 
-def small_join(big: DataFrame, small: DataFrame, on: list[str], most: int = 50_000) -> DataFrame:
-    """Join a table by node; the small side is broadcast only if it has at most `most` rows (a few MB)."""
-    few = small.limit(most + 1).count() <= most
-    return big.join(F.broadcast(small) if few else small, on)
-
-
 #: fixed values: which sources make up which domain, and the weights of each level
 DOMAINS = {"web": 6, "news": 11, "books": 16}
 WEIGHTS = {
