@@ -5,6 +5,7 @@ from __future__ import annotations
 from pitlake.llm.bpe import op6_bpe
 from pitlake.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 from pitlake.llm.licenses import OP8_SQL, op8_licenses
+from pitlake.llm.minhash import op9_minhash
 from pitlake.llm.mixing import OP10_SQL, op10_mixing
 from pitlake.llm.sharding import OP5_SQL, op5_sharding
 from pitlake.llm.toxicity import op2_toxicity
@@ -17,6 +18,7 @@ QUERIES = {
     "op5_sharding": op5_sharding,
     "op6_bpe": op6_bpe,
     "op8_licenses": op8_licenses,
+    "op9_minhash": op9_minhash,
     "op10_mixing": op10_mixing,
 }
 ORACLES = {
