@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6, 7, 8)
@@ -188,20 +189,21 @@ def train(width: int, own: list, other: list, y: np.ndarray, s: Settings) -> tup
     return w, b
 
 
-def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """docs (doc_id, text) with held_out, score and predicted.
+def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """docs with `_score` added.
 
     * one row per input row; null and empty texts get the score of no evidence.
     * only the text enters the score; every word of it does, whatever its length.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most max_features weights
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         known: dict[str, tuple[str, ...]] = {}
         for batch in batches:
             scores = []
-            for t in batch.column(1):
+            for t in batch.column(at):
                 found: set[str] = set()
                 for piece in set((t.as_py() or "").lower().split()):
                     hit = known.get(piece)
@@ -214,12 +216,14 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
                     if hit:
                         found.update(hit)
                 scores.append(m.score(found))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(scores, pa.float64()), pa.array([int(x >= threshold) for x in scores], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "_score"])
 
-    return docs.select("doc_id", "text", held_out().alias("held_out")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_score", DoubleType())]))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings | None = None) -> DataFrame:
+def toxicity(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings | None = None, threshold: float = 0.3
+) -> DataFrame:
     """Train on `labels` (doc_id, toxic) and score every row of docs: (doc_id, held_out, score, predicted).
 
     * labels with a null id or value are left out; of repeated labels the largest counts.
@@ -227,7 +231,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     * without labels of both kinds the score is constant; an empty table gives an empty result.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return score(own, fit(own, labels.select("doc_id", "toxic"), settings))
+    scored = score(own, fit(own, labels.select("doc_id", "toxic"), settings))
+    return scored.select("doc_id", held_out().alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
