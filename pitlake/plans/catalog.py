@@ -1,6 +1,10 @@
-"""Queries over the driver's tables, by name, with their SQL."""
+"""All queries over the driver's tables, by name, with their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from pitlake.plans import history, scalars
+from pitlake.plans.base import ORACLES, QUERIES
+
+MODULES = [scalars, history]
+
+__all__ = ["MODULES", "ORACLES", "QUERIES"]
