@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pitlake.plans import history, scalars
+from pitlake.plans import history, joins, scalars
 from pitlake.plans.base import ORACLES, QUERIES
 
-MODULES = [scalars, history]
+MODULES = [scalars, history, joins]
 
 __all__ = ["MODULES", "ORACLES", "QUERIES"]
