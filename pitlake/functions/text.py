@@ -72,12 +72,10 @@ def lifecycle_rank(code: Column, ranks: dict[str, int] | None = None, other: int
 
 
 def bucket(x: Column, specs: list[tuple[str, float, float | None]]) -> Column:
-    """Label of the half-open interval that holds x; the last one may be open."""
-    out = F.lit(None).cast("string")
-    for label, low, high in reversed(specs):
-        inside = (x >= low) if high is None else (x >= low) & (x < high)
-        out = F.when(inside, label).otherwise(out)
-    return out
+    """Label of the half-open interval that holds x; intervals adjoin, the last one may be open. x is evaluated once."""
+    edges = [s[1] for s in specs] + ([specs[-1][2]] if specs[-1][2] is not None else [])
+    reached = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: x >= e))
+    return F.get(F.array(*(F.lit(s[0]) for s in specs)), F.when(x.isNotNull(), reached - 1))
 
 
 def digitised(x: Column, edges: list[float]) -> Column:

@@ -67,7 +67,7 @@ def buckets(df: DataFrame, x: Column, specs: Sequence[tuple[str, float, float |
     from pitlake.functions.text import bucket
 
     frame = df.sparkSession.createDataFrame([(i, s[0]) for i, s in enumerate(specs)], "pos int, bucket string")
-    found = df.withColumn("bucket", bucket(x, list(specs))).where("bucket IS NOT NULL").groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *(v.alias(k) for k, v in aggregates.items()))
+    found = df.withColumn("_x", x).withColumn("bucket", bucket(F.col("_x"), list(specs))).where("bucket IS NOT NULL").groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *(v.alias(k) for k, v in aggregates.items()))
     return F.broadcast(frame).join(found, "bucket", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 

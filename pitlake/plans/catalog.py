@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pitlake.plans import history, joins, scalars
+from pitlake.plans import history, joins, metrics, scalars
 from pitlake.plans.base import ORACLES, QUERIES
 
-MODULES = [scalars, history, joins]
+MODULES = [scalars, history, joins, metrics]
 
 __all__ = ["MODULES", "ORACLES", "QUERIES"]
