@@ -79,12 +79,12 @@ def agreement(t: Tables) -> DataFrame:
     return t.orders.join(f, "o_orderkey").where("first < o_orderdate").select("o_orderkey")
 
 
-@query("c16_two_sided", """WITH c AS (SELECT s_suppkey, s_nationkey, s_acctbal FROM supplier), g AS (SELECT DISTINCT p_partkey % 40 AS game, (p_partkey % 40) AS home, (p_partkey % 40) + 50 AS away FROM part)
+@query("c16_two_sided", """WITH c AS (SELECT c_custkey AS s_suppkey, c_acctbal AS s_acctbal FROM customer), g AS (SELECT DISTINCT p_partkey % 40 AS game, (p_partkey % 40) AS home, (p_partkey % 40) + 50 AS away FROM part)
 SELECT game, round(h.s_acctbal, 4) AS home_acctbal, round(a.s_acctbal, 4) AS away_acctbal, round(h.s_acctbal - a.s_acctbal, 4) AS diff_acctbal FROM g JOIN c h ON h.s_suppkey = home JOIN c a ON a.s_suppkey = away""")
 def two_sided(t: Tables) -> DataFrame:
     """Home and away components of a game and their difference; games with neither are excluded."""
     games = t.part.select((F.col("p_partkey") % 40).alias("game")).distinct().select("game", F.col("game").alias("home"), (F.col("game") + 50).alias("away"))
-    comp = t.supplier.select(F.explode(F.array(F.col("s_suppkey"), F.col("s_suppkey") - 50)).alias("game"), F.col("s_suppkey").alias("side"), F.col("s_acctbal").alias("acctbal"))
+    comp = t.customer.select(F.explode(F.array(F.col("c_custkey"), F.col("c_custkey") - 50)).alias("game"), F.col("c_custkey").alias("side"), F.col("c_acctbal").alias("acctbal"))
     rows, _ = matching.two_sided(comp, games, "game", "side", "home", "away", ["acctbal"])
     return rows.select("game", F.round("home_acctbal", 4).alias("home_acctbal"), F.round("away_acctbal", 4).alias("away_acctbal"), F.round(F.col("home_acctbal") - F.col("away_acctbal"), 4).alias("diff_acctbal"))
 
