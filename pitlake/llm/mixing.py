@@ -105,10 +105,10 @@ def mix(
     run = in_edge.withColumn("upto", F.col("before") + F.sum("n").over(W.partitionBy(*PATH).orderBy("key")))
     ends = run.where("upto > rest").groupBy(*PATH).agg(F.min("key").alias("end"))
     cuts = cut(plan.join(ends, PATH, "left").select(
-        F.col("domain").alias("_domain"), F.col("lang").alias("_lang"), F.col("source").alias("_source"), "whole", "end"
+        F.col("domain").alias("_domain"), F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.col("whole").alias("_whole"), F.col("end").alias("_end")
     ), "cuts")
     out = small_join(named, cuts, ["_domain", "_lang", "_source"])
-    copies = F.col("whole") + F.when(F.col("end").isNotNull() & (order_key(F.col(id_col), seed, F.col("whole") + 1) < F.col("end")), 1).otherwise(0)
+    copies = F.col("_whole") + F.when(F.col("_end").isNotNull() & (order_key(F.col(id_col), seed, F.col("_whole") + 1) < F.col("_end")), 1).otherwise(0)
     return out.withColumn("_copies", copies.cast("int")).where("_copies > 0").select(docs.columns + ["_domain", "_n_tokens", "_copies"])
 
 

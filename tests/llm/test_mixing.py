@@ -59,7 +59,7 @@ def corpus(rng, n):
 
 
 def run(spark, rows, **options):
-    df = spark.createDataFrame([(*r, "x", 5) for r in rows], "doc_id long, dom string, lang string, source string, text string, domain string, tokens int")
+    df = spark.createDataFrame([(*r, "x", 5, "z", 9) for r in rows], "doc_id long, dom string, lang string, source string, text string, domain string, tokens int, end string, whole int")
     return {r.doc_id: r._copies for r in mix(df, F.col("dom"), WEIGHTS, **options).collect()}
 
 
