@@ -38,12 +38,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LENGTH, GRAM = 50, 20
-PACK_BYTES = 6 << 20
-FILTER_BYTES = 24 << 20
-RANGE_BYTES = 8 << 20
+PACK_BYTES = 2 << 20
+FILTER_BYTES = 6 << 20
+RANGE_BYTES = 4 << 20
 HOT_PACKS = 4096
 SAMPLE_BYTES, SAMPLE_KEYS = 16 << 20, 50_000
-PIECE = 400_000  # windows sorted at once
+PIECE = 200_000  # windows sorted at once
+CHUNK = 1 << 18  # bytes hashed at once
 _U = np.uint64
 _MULT = 0x9E3779B97F4A7C15
 
@@ -84,34 +85,47 @@ def least_in_window(h: np.ndarray, w: int) -> np.ndarray:
 
 
 class Runs:
-    """The runs of some documents laid end to end: first and last window start, anchor and its hash, document number."""
+    """The runs of some documents laid end to end: first and last window start, anchor and its hash, document number.
 
-    def __init__(self, texts: list[bytes], length: int, gram: int):
+    Hashes are made for a few documents at a time, so that the arrays stay small.
+    """
+
+    def __init__(self, texts: list[bytes], length: int, gram: int, chunk: int = CHUNK):
         self.size = np.array([len(t) for t in texts], np.int64)
         self.end = np.cumsum(self.size)
         self.start = self.end - self.size
         self.data = b"".join(texts)
         self.bytes = np.frombuffer(self.data, np.uint8)
-        n = len(self.data) - length + 1
+        parts, lo = [], 0
+        while lo < len(texts):
+            hi = max(lo + 1, int(np.searchsorted(self.end, self.start[lo] + chunk, side="right")))
+            parts.append(self._chunk(lo, hi, length, gram))
+            lo = hi
+        kinds = (np.int64, np.int64, np.int64, np.int64, _U)
+        self.first, self.last, self.anchor, self.doc, self.hash = (np.concatenate([p[k] for p in parts] or [np.zeros(0, t)]) for k, t in enumerate(kinds))
+
+    def _chunk(self, lo: int, hi: int, length: int, gram: int) -> tuple[np.ndarray, ...]:
+        base, size = self.start[lo], self.size[lo:hi]
+        b = self.bytes[base : self.end[hi - 1]]
+        n = len(b) - length + 1
         if n <= 0:
-            self.first = self.last = self.anchor = self.doc = np.zeros(0, np.int64)
-            self.hash = np.zeros(0, _U)
-            return
-        h = gram_hashes(self.bytes, gram)
+            none = np.zeros(0, np.int64)
+            return none, none, none, none, np.zeros(0, _U)
+        h = gram_hashes(b, gram)
         at = least_in_window(h, length - gram + 1)
-        edge = np.zeros(len(self.data) + 1, np.int64)
-        long = self.size >= length
-        np.add.at(edge, self.start[long], 1)
-        np.add.at(edge, self.end[long] - length + 1, -1)
-        s = np.nonzero(np.cumsum(edge)[:n])[0]
-        p = at[s].astype(np.int64)
-        doc = np.repeat(np.arange(len(texts)), np.maximum(0, self.size - length + 1))
+        inside = np.zeros(len(b) + 1, np.int8)
+        long = size >= length
+        np.add.at(inside, self.start[lo:hi][long] - base, 1)
+        np.add.at(inside, self.end[lo:hi][long] - base - length + 1, -1)
+        s = np.nonzero(np.cumsum(inside, dtype=np.int8)[:n])[0]
+        p = at[s]
+        doc = np.repeat(np.arange(lo, hi), np.maximum(0, size - length + 1))
         new = np.ones(len(s), bool)
         new[1:] = (p[1:] != p[:-1]) | (doc[1:] != doc[:-1])
         i = np.nonzero(new)[0]
-        self.first, self.anchor, self.doc = s[i], p[i], doc[i]
-        self.last = s[np.append(i[1:], len(s)) - 1] if len(i) else s[i]
-        self.hash = h[self.anchor]
+        anchor = p[i].astype(np.int64)
+        last = s[np.append(i[1:], len(s)) - 1] if len(i) else s[i]
+        return s[i] + base, last + base, anchor + base, doc[i], h[anchor]
 
 
 def texts_of(table: pa.Table) -> list[bytes]:
