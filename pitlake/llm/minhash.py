@@ -9,10 +9,13 @@ Jaccard similarity of the texts.
 
 Texts with the same words are one class before anything is compared. Bands of
 the signature place similar texts in common buckets. In each bucket every member
-is compared with one leader, so copies cost a row each and not a pair each;
-where a bucket still holds several groups after that, members of different
-groups are compared by signature, in blocks, and what may reach the threshold is
-verified. Verification is exact, on the shingles.
+is compared with one leader, so copies cost a row each and not a pair each. A
+bucket that still holds several groups gets a second leader, the member most
+like the others by signature: edited copies are like the text they come from and
+less like each other. Members of groups that are apart even then are compared
+across groups by a longer signature, in blocks, each pair in the first bucket
+they share, and only what may reach the threshold is verified. Verification is
+exact, on the shingles.
 """
 
 from __future__ import annotations
@@ -32,8 +35,10 @@ WORDS = 5
 SIMILAR = 0.8
 SLOTS = 128
 BAND = 4  # slots in a band: 32 bands miss a pair at 0.8 with probability 5e-8
-SLACK = 0.2  # signatures estimate within this (5.6 standard deviations at 0.8)
-BLOCK = 512
+FINE_SLOTS = 1024  # of the longer signature, four bits each
+SLACK = 0.06  # it estimates within this (4.6 standard deviations at 0.8)
+BLOCK = 2048
+CACHED = 4096  # texts whose shingles a verifying task remembers
 _WORD = re.compile(r"\w+")
 _U64 = np.uint64
 
@@ -147,16 +152,21 @@ def bands_of(row: np.ndarray) -> list[int]:
 
 def _verify(limit: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_key, last = None, None
+        known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+        def weighted(doc: int, text: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+            got = known.get(doc)
+            if got is None:
+                if len(known) >= CACHED:
+                    known.clear()
+                got = known[doc] = shingles(words_of(text.as_py()))
+            return got
+
         for batch in batches:
             a, b, ta, tb = (batch.column(i) for i in range(4))
             keep, found = [], []
-            for i in range(batch.num_rows):
-                k = a[i].as_py()
-                if k != last_key:
-                    last_key, last = k, shingles(words_of(ta[i].as_py()))
-                other = shingles(words_of(tb[i].as_py()))
-                s = similarity(last, other)
+            for i, (x, y) in enumerate(zip(a.to_pylist(), b.to_pylist())):
+                s = similarity(weighted(x, ta[i]), weighted(y, tb[i]))
                 if s >= limit:
                     keep.append(i)
                     found.append(s)
@@ -174,22 +184,74 @@ def verify(pairs: DataFrame, texts: DataFrame, limit: float) -> DataFrame:
     return both.mapInArrow(_verify(limit), "src long, dst long, similarity double")
 
 
-def _cross_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs between blocks of one bucket: (docs, groups, signatures) of two blocks in a row."""
+def _medoids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(band, doc, score): of each block the member whose signature agrees most with those of the others."""
+    for batch in batches:
+        rows = []
+        for row in (batch.slice(r, 1).to_pylist()[0] for r in range(batch.num_rows)):
+            sig = np.frombuffer(b"".join(row["signatures"]), np.uint32).reshape(len(row["docs"]), -1)
+            agree = np.concatenate([(sig[i : i + 16, None] == sig[None]).sum((1, 2)) for i in range(0, len(sig), 16)])
+            best = int(np.lexsort((np.array(row["docs"]), -agree))[0])
+            rows.append((row["band"], row["docs"][best], float(agree[best]) / len(sig)))
+        kinds = (pa.int64(), pa.int64(), pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["band", "doc", "score"])
+
+
+#: how many of the two slots in a byte agree, by the exclusive or of two bytes
+_AGREE = np.array([(x < 16) + (x % 16 == 0) for x in range(256)], np.uint8)
+
+
+def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, fine): the longer signature, four bits for each slot."""
     for batch in batches:
-        src, dst = [], []
-        for row in batch.to_pylist():
-            da, db = np.array(row["docs"]), np.array(row["docs2"])
-            ga, gb = np.array(row["groups"]), np.array(row["groups2"])
-            sa = np.frombuffer(b"".join(row["signatures"]), np.uint32).reshape(len(da), -1)
-            sb = np.frombuffer(b"".join(row["signatures2"]), np.uint32).reshape(len(db), -1)
-            for i in range(len(da)):
-                ok = (db > da[i]) if row["same"] else (db != da[i])
-                near = (sb == sa[i]).mean(1) >= SIMILAR - SLACK
-                for j in np.nonzero(ok & near & (gb != ga[i]))[0]:
-                    src.append(min(da[i], db[j]))
-                    dst.append(max(da[i], db[j]))
-        yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
+        for at in range(0, batch.num_rows, 64):
+            part = batch.slice(at, 64)
+            sig = (probminhash([shingles(words_of(t.as_py())) for t in part.column(1)], FINE_SLOTS) & _U64(15)).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([row.tobytes() for row in sig[:, ::2] | sig[:, 1::2] << 4], pa.binary())], ["doc", "fine"])
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, places): 32 bits of each band key, by which the first bucket that two documents share is known."""
+    for batch in batches:
+        rows = [np.array(bands_of(np.frombuffer(x, np.uint32)), np.int64).astype(np.uint32).tobytes() for x in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["doc", "places"])
+
+
+def _cross_groups(limit: float):
+    """Pairs of different groups between two blocks of a bucket that may reach the limit, each in the first bucket the pair shares.
+
+    Four bits agree by chance once in sixteen; the limit is raised by that.
+    """
+    least = (1 + 15 * (limit - SLACK)) / 16 * FINE_SLOTS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            src, dst = [], []
+            for row in (batch.slice(r, 1).to_pylist()[0] for r in range(batch.num_rows)):
+                da, db, ga, gb = (np.array(row[k]) for k in ("docs", "docs2", "groups", "groups2"))
+                pa_, pb = (np.frombuffer(b"".join(row[k]), np.uint32).reshape(len(d), -1) for k, d in (("places", da), ("places2", db)))
+                fa, fb = (np.frombuffer(b"".join(row[k]), np.uint8).reshape(len(d), -1) for k, d in (("fine", da), ("fine2", db)))
+                here = int(np.nonzero(pa_[0] == np.uint32(row["band"] & 0xFFFFFFFF))[0][0])
+                for i in range(len(da)):
+                    j = np.nonzero((gb != ga[i]) & ((db > da[i]) if row["same"] else True))[0]
+                    j = j[~(pb[j, :here] == pa_[i, :here]).any(1)]
+                    j = j[_AGREE[fb[j] ^ fa[i]].sum(1, dtype=np.int64) >= least]
+                    src.append(np.minimum(da[i], db[j]))
+                    dst.append(np.maximum(da[i], db[j]))
+            empty = np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(src or [empty])), pa.array(np.concatenate(dst or [empty]))], ["src", "dst"])
+
+    return run
+
+
+def mixed_members(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """(band, doc, grp, block, blocks) of the buckets that hold several groups; of two members, one was compared with the other as its leader."""
+    placed = members.select("band", "doc").join(groups.select(F.col("id").alias("doc"), "component"), "doc", "left").select(
+        "band", "doc", F.coalesce("component", "doc").alias("grp")
+    )
+    mixed = placed.groupBy("band").agg(F.min("grp").alias("a"), F.max("grp").alias("b"), F.count(F.lit(1)).alias("n")).where("a < b AND n > 2")
+    out = placed.join(mixed.select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "band")
+    return out.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: float = SIMILAR) -> DataFrame:
@@ -222,24 +284,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = cut(verify(stars, texts, limit).select("src", "dst"), "links")
     groups = cut(components(links), "groups")
 
-    # buckets that still hold several groups: compare across them
-    placed = members.select("band", "doc").join(groups.select(F.col("id").alias("doc"), "component"), "doc", "left").select(
-        "band", "doc", F.coalesce("component", "doc").alias("grp")
-    )
-    mixed = placed.groupBy("band").agg(F.min("grp").alias("a"), F.max("grp").alias("b"), F.count(F.lit(1)).alias("n")).where("a < b")
-    blocked = placed.join(mixed.select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "band").join(signed.select("doc", "signature"), "doc")
-    blocked = blocked.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).groupBy("band", "block", "blocks").agg(
-        F.collect_list("doc").alias("docs"), F.collect_list("grp").alias("groups"), F.collect_list("signature").alias("signatures")
-    )
-    blocked = cut(blocked, "blocks")
-    other = blocked.select("band", F.col("block").alias("block2"), F.col("docs").alias("docs2"), F.col("groups").alias("groups2"), F.col("signatures").alias("signatures2"))
-    crossed = blocked.join(other, "band").where("block2 >= block").select(
-        "docs", "groups", "signatures", "docs2", "groups2", "signatures2", (F.col("block") == F.col("block2")).alias("same")
-    )
-    pairs = crossed.mapInArrow(_cross_groups, "src long, dst long").distinct().join(stars, ["src", "dst"], "left_anti")
-    more = cut(verify(pairs, texts, limit).select("src", "dst"), "more")
-    if not more.isEmpty():
-        groups = cut(components(links.union(more)), "groups")
+    # a second leader for buckets that still hold several groups
+    mixed = cut(mixed_members(members, groups), "mixed")
+    if not mixed.isEmpty():
+        sigs = signed.select("doc", "signature")
+        blocks = mixed.join(sigs, "doc").groupBy("band", "block").agg(F.collect_list("doc").alias("docs"), F.collect_list("signature").alias("signatures"))
+        second = blocks.select("band", "docs", "signatures").mapInArrow(_medoids, "band long, doc long, score double").groupBy("band").agg(F.max_by("doc", F.struct("score", -F.col("doc"))).alias("lead"))
+        pairs = mixed.join(second, "band").where("doc <> lead").select(F.least("doc", "lead").alias("src"), F.greatest("doc", "lead").alias("dst")).distinct().join(stars, ["src", "dst"], "left_anti")
+        links = cut(links.union(verify(pairs, texts, limit).select("src", "dst")), "links")
+        groups = cut(components(links), "groups")
+
+        # members of groups that are still apart
+        mixed = cut(mixed_members(members, groups), "mixed")
+        fine = cut(texts.join(mixed.select("doc").distinct(), "doc").select("doc", "text").mapInArrow(_fine, "doc long, fine binary"), "fine")
+        places = sigs.join(mixed.select("doc").distinct(), "doc").select("doc", "signature").mapInArrow(_places, "doc long, places binary")
+        kinds = ("docs", "groups", "places", "fine")
+        blocks = cut(mixed.join(places, "doc").join(fine, "doc").groupBy("band", "block", "blocks").agg(*(F.collect_list(c).alias(n) for c, n in zip(("doc", "grp", "places", "fine"), kinds))), "blocks")
+        alone = blocks.select("band", F.lit(True).alias("same"), *kinds, *(F.col(c).alias(f"{c}2") for c in kinds))  # a block with itself needs no join
+        large = blocks.where("blocks > 1")
+        faced = large.join(large.select("band", F.col("block").alias("block2"), *(F.col(c).alias(f"{c}2") for c in kinds)), "band").where("block2 > block")
+        faced = alone.unionByName(faced.select("band", F.lit(False).alias("same"), *kinds, *(f"{c}2" for c in kinds)))
+        pairs = cut(faced.mapInArrow(_cross_groups(limit), "src long, dst long"), "pairs")
+        more = cut(verify(pairs, texts, limit).select("src", "dst"), "more")
+        if not more.isEmpty():
+            groups = cut(components(links.union(more)), "groups")
 
     found = classes.join(groups.withColumnRenamed("id", "doc"), "doc", "left").select(
         "class_key", "_salt", F.col("doc").alias("class_id"), F.coalesce("component", "doc").alias("group_id")
