@@ -60,9 +60,9 @@ def salted(df: DataFrame, hot: DataFrame, key: str, by: Column, salts: int) -> D
 
 
 def small_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", most: int = 50_000) -> DataFrame:
-    """Join with a table by node; that side is broadcast only if it has at most `most` rows (a few MB)."""
+    """Join with a table by node; that side is broadcast only if it has at most `most` rows (a few MB), whatever its files' compressed size suggests."""
     few = small.limit(most + 1).count() <= most
-    return big.join(F.broadcast(small) if few else small, on, how)
+    return big.join(F.broadcast(small) if few else small.hint("merge"), on, how)
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pitlake.llm.common import cut
+from pitlake.llm.common import cut, small_join
 
 BITS = 60
 STEP = 8
@@ -53,12 +53,12 @@ def shard(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "
         )
         sums = nodes.groupBy("depth", "node").agg(F.sum("b").alias("shard_bytes"), F.sum("n").alias("shard_rows"))
         directory = (
-            nodes.join(sums, ["depth", "node"]).where((F.col("shard_bytes") <= limit) | (F.col("shard_rows") == 1))
+            nodes.join(sums.hint("merge"), ["depth", "node"]).where((F.col("shard_bytes") <= limit) | (F.col("shard_rows") == 1))
             .groupBy("cell").agg(F.min_by(F.struct("depth", "node", "shard_bytes"), "depth").alias("s")).select("cell", "s.*")
         )
         directory = cut(directory, "directory")
         todo = todo.withColumn("cell", F.expr(f"shiftright(h, {BITS - depth})"))
-        parts.append(todo.join(directory, "cell").select("doc_id", "n_bytes", bits("node", "depth").alias("shard"), "depth", "shard_bytes"))
+        parts.append(small_join(todo, directory, ["cell"]).select("doc_id", "n_bytes", bits("node", "depth").alias("shard"), "depth", "shard_bytes"))
         left = cells.join(directory, "cell", "left_anti").select("cell")
         if left.isEmpty():
             break
