@@ -132,6 +132,12 @@ def texts_of(table: pa.Table) -> list[bytes]:
     return [x if x is not None else b"" for x in table.column("data").to_pylist()]
 
 
+def in_order(table: pa.Table) -> pa.Table:
+    """A pack's rows by id, then text: shuffled rows come in any order, and what one step numbers another must number alike."""
+    ids, texts = table.column("doc_id").to_pylist(), texts_of(table)
+    return table.take(pa.array(sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0, texts[i])), pa.int64()))
+
+
 def anchor_lists(runs: Runs, ids: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct hashes of a pack, ascending, whether each is in several documents, and their buckets (ascending too)."""
     order = np.argsort(runs.hash, kind="stable")
@@ -300,7 +306,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
         return runs, ids_of(table), texts
 
     def list_anchors(table: pa.Table) -> pa.Table:
-        runs, ids, _ = comparable(table)
+        runs, ids, _ = comparable(in_order(table))
         h, several, bucket = anchor_lists(runs, ids, buckets)
         cuts = np.nonzero(np.append(True, bucket[1:] != bucket[:-1]))[0] if len(h) else []
         rows = [(int(bucket[a]), table.column("pack")[0].as_py(), six_bytes(h[a:b]), np.packbits(several[a:b]).tobytes()) for a, b in zip(cuts, [*cuts[1:], len(h)])]
@@ -329,7 +335,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {"range": [], "pack": [], "sizes": [], "blob": [], "docs": []}
         if left.num_rows:
-            runs, ids, _ = comparable(left)
+            runs, ids, _ = comparable(in_order(left))
             where, parts, least, *_ = pack_runs(runs, ids, flags_of(right), buckets, shared.value, length, gram)
             order = np.argsort(where, kind="stable")
             cuts = np.nonzero(np.append(True, where[order][1:] != where[order][:-1]))[0] if len(order) else []
@@ -379,6 +385,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     )
 
     def settle(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = in_order(left)
         runs, ids, texts = comparable(left)
         where, parts, least, occ, occ_doc, occ_at = pack_runs(runs, ids, flags_of(right), buckets, shared.value, length, gram)
         order = np.argsort(where, kind="stable")

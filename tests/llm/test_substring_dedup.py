@@ -82,3 +82,11 @@ def test_text_kept(spark):
     df = spark.createDataFrame([(1, "q" * 10 + "0123456789" * 6), (2, "0123456789" * 6 + "tail")], "doc_id long, text string")
     got = {r.doc_id: bytes(r.kept) for r in s.remove_repeats(df, with_text=True).collect()}
     assert got == {1: b"q" * 10 + b"0123456789" * 6, 2: b"tail"}
+
+
+def test_rows_of_a_pack_have_one_order():
+    import pyarrow as pa
+
+    rows = [(3, b"c"), (None, b"z"), (1, b"b"), (1, b"a"), (None, None), (0, b"q")]
+    got = [s.in_order(pa.table({"doc_id": pa.array([r[0] for r in x], pa.int64()), "data": pa.array([r[1] for r in x], pa.binary())})).to_pydict() for x in (rows, rows[::-1])]
+    assert got[0] == got[1]
