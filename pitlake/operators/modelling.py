@@ -110,8 +110,8 @@ def simulate(games: DataFrame, trials: int, seed: int = 0) -> DataFrame:
     return games.select("game_pk", "home_rate", "away_rate").mapInPandas(run, "game_pk long, p_home double, mean_home double, mean_away double, median_total double")
 
 
-def pooled(predictions: DataFrame, label: str = "label", p: str = "p") -> DataFrame:
-    """Metrics of each fold and of all of them, fold -1."""
-    both = predictions.select("fold", label, p).unionByName(predictions.select(F.lit(-1).alias("fold"), label, p))
-    m = metrics.slice_metrics(both, label, p, ["fold"])
-    return m.join(metrics.calibration_error(both, label, p, ["fold"]), "fold")
+def pooled(predictions: DataFrame, label: str = "label", p: str = "p", by: Sequence[str] = ()) -> DataFrame:
+    """Metrics of each fold and of all of them, fold -1, for each group."""
+    both = predictions.select(*by, "fold", label, p).unionByName(predictions.select(*by, F.lit(-1).alias("fold"), label, p))
+    keys = [*by, "fold"]
+    return metrics.slice_metrics(both, label, p, keys).join(metrics.calibration_error(both, label, p, keys), keys)

@@ -144,30 +144,40 @@ def batches(t: Tables) -> DataFrame:
 def matrix(t: Tables) -> DataFrame:
     """Orders with numeric features and a label, by season."""
     lines = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("l_quantity").alias("q"), F.avg("l_discount").alias("d"))
-    return t.orders.where("o_orderkey % 4 = 0").join(lines, "o_orderkey", "left").select(
+    m = t.orders.join(lines, "o_orderkey", "left").select(
         "o_orderkey", F.year("o_orderdate").alias("season"), (F.col("o_totalprice") / 1e5).alias("price"), "q", "d", (F.col("o_totalprice") + 1e5 * (F.col("o_orderkey") % 7 / 7) > 3e5).cast("double").alias("label"))
+    return stored(t, m, "matrix")
+
+
+def stored(t: Tables, df: DataFrame, name: str) -> DataFrame:
+    """The frame as a table, as models read it many times."""
+    path = shared_folder(t, name)
+    df.write.parquet(path)
+    return t.spark.read.parquet(path)
 
 
 @query("j10_walk_forward")
 def walk_forward(t: Tables) -> DataFrame:
-    """Expanding folds, logistic pipeline, metrics by fold and pooled."""
-    m = matrix(t)
-    seasons = [r[0] for r in m.select("season").distinct().collect()]
-    folds = modelling.expanding_folds(seasons)[-2:]
-    p = modelling.walk_forward(m, ["price", "q", "d"], folds, lambda: modelling.pipeline("logistic", ["price", "q", "d"]))
-    return modelling.pooled(p).select("fold", "n", *(F.round(c, 4).alias(c) for c in ("log_loss", "brier", "accuracy", "auc", "ece")))
+    """All expanding folds, three models, metrics by model and fold and pooled."""
+    m, features = matrix(t), ["price", "q", "d"]
+    folds = modelling.expanding_folds([r[0] for r in m.where("season IS NOT NULL").select("season").distinct().collect()])
+    p = None
+    for kind in ("logistic", "forest", "boosted"):
+        one = modelling.walk_forward(m, features, folds, lambda: modelling.pipeline(kind, features)).select(F.lit(kind).alias("model"), "fold", "label", "p")
+        p = one if p is None else p.unionByName(one)
+    return modelling.pooled(stored(t, p, "predictions"), by=["model"]).select("model", "fold", "n", *(F.round(c, 4).alias(c) for c in ("log_loss", "brier", "accuracy", "auc", "ece")))
 
 
 @query("j16_calibration")
 def calibration(t: Tables) -> DataFrame:
     """Sigmoid and isotonic calibration on the same split."""
     m = matrix(t)
-    last = m.agg(F.max("season")).collect()[0][0]
-    folds = [(tuple(range(last - 4, last - 1)), last - 1), (tuple(range(last - 4, last - 1)), last)]
-    p = modelling.walk_forward(m, ["price", "q", "d"], folds, lambda: modelling.pipeline("logistic", ["price", "q", "d"]))
+    *train, before, last = sorted(r[0] for r in m.where("season IS NOT NULL").select("season").distinct().collect())
+    folds = [(tuple(train), before), (tuple(train), last)]
+    p = stored(t, modelling.walk_forward(m, ["price", "q", "d"], folds, lambda: modelling.pipeline("logistic", ["price", "q", "d"])), "predictions")
     out = None
     for method in ("sigmoid", "isotonic"):
-        c = modelling.fit_calibrator(p.where(F.col("fold") == last - 1), method)(p.where(F.col("fold") == last))
+        c = modelling.fit_calibrator(p.where(F.col("fold") == before), method)(p.where(F.col("fold") == last))
         row = c.agg(F.lit(method).alias("method"), F.count(F.lit(1)).alias("n"), F.round(metrics.brier(F.col("label"), F.col("p")), 4).alias("raw"), F.round(metrics.brier(F.col("label"), F.col("calibrated")), 4).alias("calibrated"))
         out = row if out is None else out.unionByName(row)
     return out
