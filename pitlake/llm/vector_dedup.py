@@ -20,12 +20,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pitlake.llm.common import components, cut, hot_keys, salted
 
 SIMILAR = 0.9
 BLOCK = 4096
 STEP = 8
+KINDS = {"float": np.float32, "double": np.float64}  # vectors travel as they came
 MARGIN = 1e-4  # what single precision may err by in the bounds
 
 
@@ -101,15 +103,15 @@ def prefix_scan(a: np.ndarray, b: np.ndarray, limit: float, ends: tuple[int, ...
     return np.concatenate(first), np.concatenate(second)
 
 
-def tile_links(axes: np.ndarray, ends: tuple[int, ...], limit: float):
-    """Links of tiles (ids, vectors of two blocks, same): pairs of classes with an exact cosine of limit or more."""
+def tile_links(axes: np.ndarray, ends: tuple[int, ...], limit: float, kind: str):
+    """Links of tiles (ids, vectors of two blocks as numbers of this kind, same): pairs of classes with an exact cosine of limit or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
                 row = batch.slice(r, 1)
                 ia, ib = (np.frombuffer(row.column(c)[0].as_py(), np.int64) for c in (0, 2))
-                xa, xb = (np.frombuffer(row.column(c)[0].as_py(), np.float32).reshape(len(i), -1).astype(np.float64) for c, i in ((1, ia), (3, ib)))
+                xa, xb = (np.frombuffer(row.column(c)[0].as_py(), KINDS[kind]).reshape(len(i), -1).astype(np.float64) for c, i in ((1, ia), (3, ib)))
                 ua, ub = unit(xa), unit(xb)
                 i, j = prefix_scan(ua @ axes, ub @ axes, limit, ends)
                 ok = ia[i] < ib[j] if row.column(4)[0].as_py() else ia[i] != ib[j]
@@ -127,16 +129,20 @@ def exact_cosine(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) ->
     return np.einsum("ij,ij->i", a[i], b[j]) / (na[i] * nb[j])
 
 
-def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def pack(kind: str):
     """(blk, vec_id, embedding, p) rows to (blk, ids, vectors, lo, hi), the first two as bytes; a block may come in several pieces."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        blk = np.asarray(batch.column(0))
-        ids, x, p = np.asarray(batch.column(1)), matrix(batch.column(2)).astype(np.float32), np.asarray(batch.column(3))
-        rows = [(int(k), ids[m].tobytes(), x[m].tobytes(), float(p[m].min()), float(p[m].max())) for k in np.unique(blk) for m in (blk == k,)]
-        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.float64(), pa.float64())
-        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], ["blk", "ids", "vectors", "lo", "hi"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            blk = np.asarray(batch.column(0))
+            ids, x, p = np.asarray(batch.column(1)), matrix(batch.column(2)).astype(KINDS[kind]), np.asarray(batch.column(3))
+            rows = [(int(k), ids[m].tobytes(), x[m].tobytes(), float(p[m].min()), float(p[m].max())) for k in np.unique(blk) for m in (blk == k,)]
+            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], ["blk", "ids", "vectors", "lo", "hi"])
+
+    return run
 
 
 def link_vectors(vectors: DataFrame, limit: float = SIMILAR, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK) -> DataFrame:
@@ -147,15 +153,17 @@ def link_vectors(vectors: DataFrame, limit: float = SIMILAR, id_col: str = "vec_
     * null, empty and zero vectors, and those with null or non-finite parts, link with nothing.
     * vectors of different lengths don't link.
     * a row with a null id links with nothing and is kept; rows that repeat an id count each.
+    * parts of any type but float count as double.
     * other columns are ignored; an empty table gives an empty result.
     """
-    own = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("embedding"))
+    kind = "float" if isinstance(vectors.select(vector_col).schema[0].dataType.elementType, T.FloatType) else "double"
+    own = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(f"array<{kind}>").alias("embedding"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
     good = F.coalesce(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
     marked = own.withColumn("good", good)
     alone = marked.where(~F.col("good")).select("vec_id")
     # equal vectors are one class, known by its smallest id; 0.0 and -0.0 are equal
-    clean = marked.where("good").select("vec_id", F.transform("embedding", lambda x: x + F.lit(0.0).cast("float")).alias("embedding"))
+    clean = marked.where("good").select("vec_id", F.transform("embedding", lambda x: x + F.lit(0.0).cast(kind)).alias("embedding"))
     clean = clean.withColumn("key", F.sha2(F.to_binary(F.to_json("embedding"), F.lit("utf-8")), 256))
     clean = salted(clean, hot_keys(clean.select("key"), "key"), "key", F.col("vec_id"), 64)
     parts = cut(clean.groupBy("key", "_salt").agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("n"), F.first("embedding").alias("embedding")), "parts")
@@ -163,7 +171,7 @@ def link_vectors(vectors: DataFrame, limit: float = SIMILAR, id_col: str = "vec_
 
     links = None
     for width, rows in sorted(tuple(r) for r in classes.groupBy(F.size("embedding")).count().collect()):
-        found = links_of_width(classes.where(F.size("embedding") == width), width, rows, limit, block)
+        found = links_of_width(classes.where(F.size("embedding") == width), width, rows, limit, block, kind)
         links = found if links is None else links.union(found)
     if links is None:
         return alone.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
@@ -180,7 +188,7 @@ def link_vectors(vectors: DataFrame, limit: float = SIMILAR, id_col: str = "vec_
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
-def links_of_width(classes: DataFrame, width: int, rows: int, limit: float, block: int) -> DataFrame:
+def links_of_width(classes: DataFrame, width: int, rows: int, limit: float, block: int, kind: str) -> DataFrame:
     """Links (src, dst) between classes of one vector length."""
     spark = classes.sparkSession
     axes, shares = principal_axes(classes, width)
@@ -202,8 +210,8 @@ def links_of_width(classes: DataFrame, width: int, rows: int, limit: float, bloc
             p = unit(matrix(batch.column(1))) @ lead.value if batch.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(borders, p, side="left")), *batch.columns, pa.array(p, pa.float64())], ["blk", "vec_id", "embedding", "p"])
 
-    dealt = classes.select("vec_id", "embedding").mapInArrow(deal, "blk long, vec_id long, embedding array<float>, p double")
-    packed = cut(dealt.repartition(blocks, "blk").mapInArrow(pack, "blk long, ids binary, vectors binary, lo double, hi double"), "pieces").withColumn("piece", F.xxhash64("ids"))
+    dealt = classes.select("vec_id", "embedding").mapInArrow(deal, f"blk long, vec_id long, embedding array<{kind}>, p double")
+    packed = cut(dealt.repartition(blocks, "blk").mapInArrow(pack(kind), "blk long, ids binary, vectors binary, lo double, hi double"), "pieces").withColumn("piece", F.xxhash64("ids"))
     spans = sorted((r["blk"], r["lo"], r["hi"]) for r in packed.groupBy("blk").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect())  # a row for each block
     plan = spark.createDataFrame([(k, reach(spans, i, limit)) for i, (k, *_) in enumerate(spans)], "blk long, most long")
     plan = plan.withColumn("blk2", F.explode(F.sequence("blk", "most"))).drop("most")
@@ -211,7 +219,7 @@ def links_of_width(classes: DataFrame, width: int, rows: int, limit: float, bloc
     other = packed.select(F.col("blk").alias("blk2"), F.col("ids").alias("ids2"), F.col("vectors").alias("vectors2"), F.col("piece").alias("piece2"))
     faced = plan.join(packed, "blk").join(other, "blk2").where((F.col("blk") < F.col("blk2")) | (F.col("piece") <= F.col("piece2")))
     faced = faced.select("ids", "vectors", "ids2", "vectors2", ((F.col("blk") == F.col("blk2")) & (F.col("piece") == F.col("piece2"))).alias("same"))
-    return faced.repartition(tasks).mapInArrow(tile_links(axes, ends, limit), "src long, dst long").distinct()
+    return faced.repartition(tasks).mapInArrow(tile_links(axes, ends, limit, kind), "src long, dst long").distinct()
 
 
 def reach(spans: list[tuple[int, float, float]], i: int, limit: float) -> int:

@@ -50,3 +50,14 @@ def test_null_id_and_empty(spark):
     df = spark.createDataFrame([(None, [1.0, 0.0]), (1, [1.0, 0.0])], "vec_id long, embedding array<float>")
     assert sorted((str(r.vec_id), r.n_links, r.kept) for r in v.link_vectors(df).collect()) == [("1", 0, True), ("None", 0, True)]
     assert v.link_vectors(df.limit(0)).collect() == []
+
+
+def test_double_vectors_keep_their_precision(spark):
+    near, turn = 1e-9, 0.9
+    rows = [(1, [1.0, 0.0]), (2, [turn - near, (1 - (turn - near) ** 2) ** 0.5]), (3, [turn + near, -((1 - (turn + near) ** 2) ** 0.5)]), (4, [1e200, 1e190]), (5, [-1.0, 1e-9]), (6, [-1.0, 0.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in v.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 0.9).collect()}
+    want, good = {}, {i: np.array(x) / np.abs(x).max() for i, x in rows}
+    for i in good:
+        want[i] = sorted(j for j in good if j != i and good[i] @ good[j] / np.sqrt((good[i] @ good[i]) * (good[j] @ good[j])) >= 0.9)
+    assert want == {1: [3, 4], 2: [], 3: [1, 4], 4: [1, 3], 5: [6], 6: [5]}
+    assert got == {i: (len(x), min([i, *x])) for i, x in want.items()}
