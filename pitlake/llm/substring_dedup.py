@@ -16,8 +16,9 @@ windows of an anchor are one piece of text (a run).
    windows travel singly and are placed by their own bytes too.
 3. A range sorts its windows by multikey quicksort, eight bytes at a time, and
    neighbours in that order that are equal share their smallest document id. The
-   sort goes by pieces; a group that crosses the border of two pieces is joined
-   by comparing them. Equal windows have equal keys, so none straddle ranges.
+   sort goes by pieces of whole anchor groups. Equal windows have equal anchors,
+   so none straddle pieces or ranges and nothing is compared across borders; a
+   piece is as large as its last anchor group takes it, without a bound.
 4. Each pack marks what its documents have to give up.
 
 Texts are shuffled once, by pack; what the later steps send are hashes, bits and
