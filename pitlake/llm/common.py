@@ -4,18 +4,20 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder all executors see: spark.checkpoint.dir. Where that is unset a local session, as in tests, gets a temporary one; a cluster raises."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="pitlake-")
-        spark.conf.set("spark.checkpoint.dir", f"file://{found}")
-        found = f"file://{found}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='pitlake-')}"
+        spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
@@ -28,13 +30,26 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return out
 
 
-def drop_cut(df: DataFrame) -> None:
-    """Remove the files behind a cut() that nothing reads any more."""
-    path = getattr(df, "_pitlake_path", None)
-    if path:
-        spark = df.sparkSession
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+def drop_cut(*frames: DataFrame) -> None:
+    """Remove the files behind cut() frames that nothing reads any more."""
+    for df in frames:
+        path = getattr(df, "_pitlake_path", None)
+        if path:
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def free_prefix(columns: Sequence[str], prefix: str) -> str:
+    """The prefix with as many underscores in front as it takes for no column to begin with it."""
+    while any(c.lower().startswith(prefix.lower()) for c in columns):
+        prefix = "_" + prefix
+    return prefix
+
+
+def named(columns: Sequence[str]) -> list[Column]:
+    """The columns by their whole names, dots and backticks included."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
 
 
 def hot_keys(df: DataFrame, key: str, share: float = 1e-3, least: int = 1000) -> DataFrame:

@@ -25,11 +25,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitlake.llm.common import components, cut, hot_keys, salted
+from pitlake.llm.common import components, cut, drop_cut, hot_keys, salted
 
 WORDS = 5
 SIMILAR = 0.8
@@ -38,6 +39,7 @@ BAND = 4  # slots in a band: 32 bands miss a pair at 0.8 with probability 5e-8
 FINE_SLOTS = 1024  # of the longer signature, four bits each
 SLACK = 0.06  # it estimates within this (4.6 standard deviations at 0.8)
 BLOCK = 2048
+PIECE_BYTES = 4 << 20  # of text sketched at once
 CACHED = 4096  # texts whose shingles a verifying task remembers
 _WORD = re.compile(r"\w+")
 _U64 = np.uint64
@@ -117,13 +119,28 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(np.sum(1 / ((only_a + below) / x[order] + (only_b + above) / y[order])))
 
 
+def text_hash(text: Column) -> Column:
+    """What tells the texts of a repeated id apart."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def pieces(batch: pa.RecordBatch, text: int, rows: int, nbytes: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces of at most so many rows, and so many bytes of text unless one text has more."""
+    size = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0))
+    at = 0
+    while at < batch.num_rows:
+        fit = int(np.searchsorted(np.cumsum(size[at : at + rows]), nbytes, side="right"))
+        n = max(1, fit)
+        yield batch.slice(at, n)
+        at += n
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, class_key, signature): a 128-bit digest of the words, null for a text without any; of copies that come together one has the signature."""
+    """(doc_id, text_hash, class_key, signature): a 128-bit digest of the words, null for a text without any; of copies that come together one has the signature."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
+        for part in pieces(batch, 2, 512):
             keys, sets, place = [], [], {}
-            for t in part.column(1):
+            for t in part.column(2):
                 w = words_of(t.as_py())
                 k = xxhash.xxh3_128_digest(" ".join(w)) if w else None
                 if k is not None and k not in place:
@@ -132,7 +149,14 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keys.append(k)
             rows = probminhash(sets).astype(np.uint32)
             signatures = [rows[place.pop(k)].tobytes() if k in place else None for k in keys]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.binary()), pa.array(signatures, pa.binary())], ["doc_id", "class_key", "signature"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(keys, pa.binary()), pa.array(signatures, pa.binary())], ["doc_id", "text_hash", "class_key", "signature"])
+
+
+def _low_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(low, class_key, text) of (low, text)."""
+    for batch in batches:
+        keys = [xxhash.xxh3_128_digest(" ".join(words_of(t))) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), batch.column(1)], ["low", "class_key", "text"])
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,8 +228,7 @@ _AGREE = np.array([(x < 16) + (x % 16 == 0) for x in range(256)], np.uint8)
 def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc, fine): the longer signature, four bits for each slot."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 64):
-            part = batch.slice(at, 64)
+        for part in pieces(batch, 1, 64):
             sig = (probminhash([shingles(words_of(t.as_py())) for t in part.column(1)], FINE_SLOTS) & _U64(15)).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([row.tobytes() for row in sig[:, ::2] | sig[:, 1::2] << 4], pa.binary())], ["doc", "fine"])
 
@@ -255,7 +278,7 @@ def mixed_members(members: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: float = SIMILAR) -> DataFrame:
-    """One row per input row: (doc_id, class_id, group_id, kept).
+    """One row per input row: (doc_id, class_id, group_id, kept, text_hash).
 
     class_id is the smallest id among texts with the same words, group_id the
     smallest id of the classes linked, directly or not, by a similarity of
@@ -263,35 +286,50 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     * texts without words (null, empty, signs only) link with nothing: each is its own group.
     * texts of fewer than five words have one shingle, their words together.
     * rows with a null id are left as they are: their own group, kept.
-    * rows that repeat an id are one document with the text of one of them; each is returned.
+    * rows that repeat an id are documents of their own if their texts differ; two
+      groups may then show the same smallest id. Of several texts of that id in a
+      group one is kept; rows that are equal altogether are kept or not together.
     * other columns are ignored; an empty table gives an empty result.
     """
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    keyed = cut(own.mapInArrow(_sketch, "doc_id long, class_key binary, signature binary"), "keys")
-    ids = keyed.where(F.col("doc_id").isNotNull() & F.col("class_key").isNotNull()).select("doc_id", "class_key", "signature")
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_hash(F.col(text_col)).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
+    keyed = cut(own.mapInArrow(_sketch, "doc_id long, text_hash long, class_key binary, signature binary"), "keys")
+    ids = keyed.where(F.col("doc_id").isNotNull() & F.col("class_key").isNotNull())
     ids = salted(ids, hot_keys(ids.select("class_key"), "class_key"), "class_key", F.col("doc_id"), 64)
     parts = ids.groupBy("class_key", "_salt").agg(F.min("doc_id").alias("low"), F.max("signature").alias("signature"))
     tops = parts.groupBy("class_key").agg(F.min("low").alias("doc"), F.max("signature").alias("signature"))
-    signed = cut(tops, "signatures")
-    classes = parts.select("class_key", "_salt").join(signed.select("class_key", "doc"), "class_key")  # a row for each key and salt
+    signed = cut(tops.withColumn("low", F.col("doc")), "signatures")
+    # a class is known by its smallest id, or, where that id comes with several texts, by a hash of its words
+    several = ids.groupBy("doc_id").agg(F.min("text_hash").alias("lo"), F.max("text_hash").alias("hi")).where("lo < hi")
+    shared = cut(several.select(F.col("doc_id").alias("doc")), "shared")
+    repeats = not shared.isEmpty()
+    if repeats:
+        signed = cut(signed.join(shared.withColumn("several", F.lit(True)), "doc", "left").select(
+            "class_key", F.when(F.col("several"), F.xxhash64("class_key")).otherwise(F.col("doc")).alias("doc"), "signature", "low"
+        ), "signatures")
     banded = signed.select("doc", "signature").mapInArrow(_bands, "doc long, bands array<long>").select("doc", F.explode("bands").alias("band"))
     leaders = banded.groupBy("band").agg(F.min("doc").alias("src"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     members = cut(banded.join(leaders, "band").select("band", "doc", "src"), "members")
     stars = members.where("doc > src").select("src", F.col("doc").alias("dst")).distinct()
-    paired = members.select(F.col("doc").alias("doc_id")).distinct()
-    texts = own.join(paired, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
-    texts = cut(texts.select(F.col("doc_id").alias("doc"), "text"), "texts")
+    paired = members.select("doc").distinct()
+    if repeats:
+        texts = texts_of_repeats(own, signed, shared, paired)
+    else:
+        texts = own.select(F.col("doc_id").alias("doc"), "text").join(paired, "doc").groupBy("doc").agg(F.min("text").alias("text"))
+    texts = cut(texts, "texts")
     links = cut(verify(stars, texts, limit).select("src", "dst"), "links")
     groups = cut(components(links), "groups")
+    spent = [members, texts, links]
 
     # a second leader for buckets that still hold several groups
     mixed = cut(mixed_members(members, groups), "mixed")
+    spent.append(mixed)
     if not mixed.isEmpty():
         sigs = signed.select("doc", "signature")
         blocks = mixed.join(sigs, "doc").groupBy("band", "block").agg(F.collect_list("doc").alias("docs"), F.collect_list("signature").alias("signatures"))
         second = blocks.select("band", "docs", "signatures").mapInArrow(_medoids, "band long, doc long, score double").groupBy("band").agg(F.max_by("doc", F.struct("score", -F.col("doc"))).alias("lead"))
         pairs = mixed.join(second, "band").where("doc <> lead").select(F.least("doc", "lead").alias("src"), F.greatest("doc", "lead").alias("dst")).distinct().join(stars, ["src", "dst"], "left_anti")
         links = cut(links.union(verify(pairs, texts, limit).select("src", "dst")), "links")
+        drop_cut(groups)
         groups = cut(components(links), "groups")
 
         # members of groups that are still apart
@@ -302,19 +340,43 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         blocks = cut(mixed.join(places, "doc").join(fine, "doc").groupBy("band", "block", "blocks").agg(*(F.collect_list(c).alias(n) for c, n in zip(("doc", "grp", "places", "fine"), kinds))), "blocks")
         alone = blocks.select("band", F.lit(True).alias("same"), *kinds, *(F.col(c).alias(f"{c}2") for c in kinds))  # a block with itself needs no join
         large = blocks.where("blocks > 1")
-        faced = large.join(large.select("band", F.col("block").alias("block2"), *(F.col(c).alias(f"{c}2") for c in kinds)), "band").where("block2 > block")
+        # the blocks of one bucket are dealt by bucket and second block, so that a large bucket isn't met in one place
+        faced = large.withColumn("block2", F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b > F.col("block"))))
+        faced = faced.join(large.select("band", F.col("block").alias("block2"), *(F.col(c).alias(f"{c}2") for c in kinds)), ["band", "block2"])
         faced = alone.unionByName(faced.select("band", F.lit(False).alias("same"), *kinds, *(f"{c}2" for c in kinds)))
         pairs = cut(faced.mapInArrow(_cross_groups(limit), "src long, dst long"), "pairs")
         more = cut(verify(pairs, texts, limit).select("src", "dst"), "more")
+        spent += [links, mixed, fine, blocks, pairs, more]
         if not more.isEmpty():
+            drop_cut(groups)
             groups = cut(components(links.union(more)), "groups")
-
-    found = classes.join(groups.withColumnRenamed("id", "doc"), "doc", "left").select(
-        "class_key", "_salt", F.col("doc").alias("class_id"), F.coalesce("component", "doc").alias("group_id")
+    drop_cut(*spent)
+
+    classes = parts.select("class_key", "_salt").join(signed.select("class_key", "doc", "low"), "class_key")  # a row for each key and salt
+    grouped = groups.withColumnRenamed("id", "doc")
+    if repeats:
+        grouped = grouped.join(signed.select("doc", "low"), "doc")
+        grouped = grouped.join(grouped.groupBy("component").agg(F.min("low").alias("least")), "component").select("doc", "component", "least")
+    else:
+        grouped = grouped.withColumn("least", F.col("component"))
+    found = classes.join(grouped, "doc", "left").select(
+        "class_key", "_salt", F.col("low").alias("class_id"), F.coalesce("least", "low").alias("group_id"), F.coalesce("component", "doc").alias("root")
     )
-    inside = ids.join(found, ["class_key", "_salt"]).select("doc_id", "class_id", "group_id")
-    alone = keyed.where(F.col("doc_id").isNull() | F.col("class_key").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("group_id"))
-    return inside.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("group_id"), F.lit(True)))
+    inside = ids.join(found, ["class_key", "_salt"]).select("doc_id", "text_hash", "class_id", "group_id", "root").withColumn("kept", F.col("doc_id") == F.col("group_id"))
+    if repeats:  # an id that comes with several texts may lead its group with more than one of them
+        first = inside.where("kept").groupBy("root").agg(F.min("text_hash").alias("lo"))
+        inside = inside.join(first, "root", "left").withColumn("kept", F.col("kept") & (F.col("text_hash") == F.col("lo")))
+    alone = keyed.where(F.col("doc_id").isNull() | F.col("class_key").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("group_id"), F.lit(True).alias("kept"), "text_hash")
+    return inside.select("doc_id", "class_id", "group_id", "kept", "text_hash").union(alone)
+
+
+def texts_of_repeats(own: DataFrame, signed: DataFrame, shared: DataFrame, paired: DataFrame) -> DataFrame:
+    """(doc, text) of the paired classes, where some ids come with several texts: those are told apart by their words."""
+    named = signed.select("doc", "low", "class_key").join(paired, "doc")
+    plain = own.select(F.col("doc_id").alias("doc"), "text").join(named.where("doc = low").select("doc"), "doc").groupBy("doc").agg(F.min("text").alias("text"))
+    doubtful = own.join(shared.withColumnRenamed("doc", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("low"), "text")
+    known = doubtful.mapInArrow(_low_key, "low long, class_key binary, text string")
+    return plain.union(named.where("doc <> low").join(known, ["low", "class_key"]).groupBy("doc").agg(F.min("text").alias("text")))
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

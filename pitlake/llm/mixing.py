@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pitlake.llm.common import cut, small_join
+from pitlake.llm.common import cut, drop_cut, free_prefix, named, small_join
 
 RANGE_ROWS = 4096
 PATH = ["domain", "lang", "source"]
@@ -78,16 +78,22 @@ def mix(
 ) -> DataFrame:
     """docs with (_domain, _n_tokens, _copies), only rows with a copy: the sampled mixture.
 
+    tokens: the number of tokens of a row, counted from `text` where not given.
+
     * lang and source null count as empty names; a null text has no tokens.
     * rows with one id share their place in the order and are taken or left together.
     * a table without tokens gives an empty result.
     * the first row that doesn't fit ends a leaf's prefix, so a leaf may fall short by less than one row.
+    * docs may have columns of any names; where one is called like an added
+      column, all added names get another underscore in front (`added_names`).
     """
-    named = docs.withColumns({
-        "_domain": F.coalesce(domain, F.lit("")), "_lang": F.coalesce(F.col("lang"), F.lit("")), "_source": F.coalesce(F.col("source"), F.lit("")),
-        "_n_tokens": n_tokens(F.col("text")) if tokens is None else tokens,
+    p = free_prefix(docs.columns, "_mix_")
+    leaf, n, given = [p + c for c in PATH], p + "n", added_names(docs.columns)
+    own = docs.withColumns({
+        leaf[0]: F.coalesce(domain, F.lit("")), leaf[1]: F.coalesce(F.col("lang"), F.lit("")), leaf[2]: F.coalesce(F.col("source"), F.lit("")),
+        n: n_tokens(F.col("text")) if tokens is None else tokens,
     })
-    slim = cut(named.select(F.col("_domain").alias("domain"), F.col("_lang").alias("lang"), F.col("_source").alias("source"), F.col(id_col).alias("id"), F.col("_n_tokens").alias("n")), "tokens")
+    slim = cut(own.select(*(F.col(a).alias(b) for a, b in zip(leaf, PATH)), F.col(id_col).alias("id"), F.col(n).alias("n")), "tokens")
     leaves = slim.groupBy(*PATH).agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("rows")).where("tokens > 0")
     plan = leaf_plan(leaves, weights, budget, share, epochs)
     plan = cut(plan.select(
@@ -104,12 +110,22 @@ def mix(
     # the first key of the range that doesn't fit; everything below it is taken
     run = in_edge.withColumn("upto", F.col("before") + F.sum("n").over(W.partitionBy(*PATH).orderBy("key")))
     ends = run.where("upto > rest").groupBy(*PATH).agg(F.min("key").alias("end"))
-    cuts = cut(plan.join(ends, PATH, "left").select(
-        F.col("domain").alias("_domain"), F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.col("whole").alias("_whole"), F.col("end").alias("_end")
-    ), "cuts")
-    out = small_join(named, cuts, ["_domain", "_lang", "_source"])
-    copies = F.col("_whole") + F.when(F.col("_end").isNotNull() & (order_key(F.col(id_col), seed, F.col("_whole") + 1) < F.col("_end")), 1).otherwise(0)
-    return out.withColumn("_copies", copies.cast("int")).where("_copies > 0").select(docs.columns + ["_domain", "_n_tokens", "_copies"])
+    whole, end = p + "whole", p + "end"
+    cuts = cut(plan.join(ends, PATH, "left").select(*(F.col(a).alias(b) for a, b in zip(PATH, leaf)), F.col("whole").alias(whole), F.col("end").alias(end)), "cuts")
+    drop_cut(slim, plan)
+    out = small_join(own, cuts, leaf)
+    copies = F.col(whole) + F.when(F.col(end).isNotNull() & (order_key(F.col(id_col), seed, F.col(whole) + 1) < F.col(end)), 1).otherwise(0)
+    out = out.withColumn(p + "copies", copies.cast("int")).where(F.col(p + "copies") > 0)
+    return out.select(*named(docs.columns), *(F.col(a).alias(b) for a, b in zip((leaf[0], n, p + "copies"), given)))
+
+
+def added_names(columns: list[str]) -> list[str]:
+    """What mix() calls its added columns beside these."""
+    taken = {c.lower() for c in columns}
+    out = ["_domain", "_n_tokens", "_copies"]
+    while taken & set(out):
+        out = ["_" + c for c in out]
+    return out
 
 
 #: fixed values: which sources make up which domain, and the weights of each level
@@ -133,8 +149,9 @@ def domain_of(source: Column) -> Column:
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What of `documents` goes into a mixture of half its tokens, small sources up to twice."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    got = mix(docs.select("doc_id", "lang", "source", "text"), domain_of(F.col("source")), WEIGHTS, share=0.5, epochs=2)
-    return got.select("doc_id", F.col("_domain").alias("domain"), "lang", "source", F.col("_n_tokens").alias("n_tokens"), F.col("_copies").alias("copies"))
+    counted = cut(docs.select("doc_id", "lang", "source", n_tokens(F.col("text")).alias("n_tokens")), "counted")  # each text is read once
+    got = mix(counted, domain_of(F.col("source")), WEIGHTS, share=0.5, epochs=2, tokens=F.col("n_tokens"))
+    return got.select("doc_id", F.col("_domain").alias("domain"), "lang", "source", "n_tokens", F.col("_copies").alias("copies"))
 
 
 def _sql_level(k: int) -> str:

@@ -92,7 +92,7 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, s: Settings | None = None) -> Model:
-    """Train on the labels that aren't held out; without labels of both kinds the score is constant."""
+    """Train on the labels that aren't held out; without labels of both kinds, or without a labelled text, the score is constant."""
     s = s or Settings()
     texts, counts = sampled(docs, labels, s)
     if not counts.get(0) or not counts.get(1):
@@ -138,7 +138,9 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings | None = None) -> Model:
 
     rows = texts.mapInArrow(pick, "own array<int>, other array<int>, toxic int").toPandas()
     # copies in the sample count once
-    rows = rows[~rows.assign(k=[(tuple(a), y) for a, y in zip(rows["own"], rows["toxic"])]).duplicated("k")] if len(rows) else rows
+    if not len(rows):  # no labelled text is among docs
+        return Model(math.log(counts[1] / counts[0]), {})
+    rows = rows[~rows.assign(k=[(tuple(a), y) for a, y in zip(rows["own"], rows["toxic"])]).duplicated("k")]
     w, b = train(len(names), list(rows["own"]), list(rows["other"]), rows["toxic"].to_numpy(float), s)
     sample_odds = max(1, rows["toxic"].sum()) / max(1, (1 - rows["toxic"]).sum())
     b += math.log(counts[1] / counts[0]) - math.log(sample_odds)
@@ -195,12 +197,14 @@ def train(width: int, own: list, other: list, y: np.ndarray, s: Settings) -> tup
     return w, b
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with `_score` added.
+def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "_score") -> DataFrame:
+    """docs with the score added as `score_col`; a column of docs with that name raises.
 
-    * one row per input row; null and empty texts get the score of no evidence.
+    * one row per input row, repeated ones too; null and empty texts get the score of no evidence.
     * only the text enters the score; every word of it does, whatever its length.
     """
+    if score_col.lower() in [c.lower() for c in docs.columns]:
+        raise ValueError(f"docs have a column {score_col} already")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most max_features weights
     at = docs.columns.index(text_col)
 
@@ -222,9 +226,11 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                     if hit:
                         found.update(hit)
                 scores.append(m.score(found))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*places, "score"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_score", DoubleType())]))
+    places = [f"c{i}" for i in range(len(docs.columns))]  # names that need no quoting on the way
+    fields = [StructField(p, f.dataType, f.nullable) for p, f in zip(places, docs.schema.fields)]
+    return docs.toDF(*places).mapInArrow(run, StructType([*fields, StructField("score", DoubleType())])).toDF(*docs.columns, score_col)
 
 
 def toxicity(

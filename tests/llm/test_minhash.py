@@ -1,6 +1,9 @@
 import random
+from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 import pytest
 
 from pitlake.llm import minhash as m
@@ -101,6 +104,42 @@ def test_repeated_ids(spark):
     assert sorted((r.doc_id, r.group_id, r.kept) for r in m.near_duplicates(df).collect()) == [(1, 1, True), (1, 1, True), (2, 1, False)]
 
 
+def test_repeated_ids_with_other_texts(spark):
+    """A repeated id is as many documents as it has texts."""
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a), (1, b), (2, b + " more"), (3, "plain words alone"), (0, "other plain words"), (3, b.upper()), (0, a + " tail"), (5, "x y"), (5, "X, Y")]
+    got = m.near_duplicates(spark.createDataFrame([(i, t, 1, "q") for i, t in rows], "doc_id long, text string, doc int, low string"))
+    at = {r.h: t for t in {t for _, t in rows} for r in spark.createDataFrame([(t,)], "t string").select(m.text_hash(F.col("t")).alias("h")).collect()}
+    out = {(r.doc_id, at[r.text_hash]): (r.group_id, r.kept) for r in got.collect()}
+    assert len(out) == len(rows)
+    assert out[1, a] == (0, False) and out[0, a + " tail"] == (0, True)
+    assert out[1, b] == (1, True) and out[2, b + " more"] == (1, False) and out[3, b.upper()] == (1, False)
+    assert out[3, "plain words alone"] == (3, True) and out[0, "other plain words"] == (0, True)
+    assert sorted((out[5, "x y"][1], out[5, "X, Y"][1])) == [False, True]
+
+
+def test_recall_on_documents(spark):
+    """Every pair of whole `documents` at the limit or above lies in one group: exact pairs by shared shingles."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    group = {r.doc_id: r.group_id for r in m.near_duplicates(docs).collect()}
+    sets = {r.doc_id: m.shingles(m.words_of(r.text)) for r in docs.collect()}
+    where = defaultdict(list)
+    for i, (h, _) in sets.items():
+        for x in h.tolist():
+            where[x].append(i)
+    common = Counter((i, j) for ids in where.values() if len(ids) > 1 for k, i in enumerate(ids) for j in ids[k + 1 :])
+    size = {i: len(h) for i, (h, _) in sets.items()}
+    pairs = [(i, j) for (i, j), n in common.items() if n >= 0.4 * max(size[i], size[j]) and m.similarity(sets[i], sets[j]) >= 0.8]
+    assert len(pairs) > 50
+    assert sum(group[i] == group[j] for i, j in pairs) == len(pairs)
+
+
+def test_pieces_are_cut_by_bytes():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(["a" * 60, None, "b" * 60, "c" * 300, "", "d"])], ["i", "t"])
+    assert [p.num_rows for p in m.pieces(batch, 1, 512, 100)] == [2, 1, 1, 2]
+    assert [p.num_rows for p in m.pieces(batch, 1, 4, 10_000)] == [4, 2]
+
+
 def test_bands_have_numbers():
     row = np.zeros(m.SLOTS, np.uint32)
     assert len(set(m.bands_of(row))) == m.SLOTS // m.BAND

@@ -85,3 +85,20 @@ def test_shortage_goes_to_siblings_first(spark):
 
 def test_empty(spark):
     assert run(spark, []) == {} == run(spark, [(1, "web", "en", "a", None)])
+
+
+def test_clashing_names(spark):
+    """Columns called like internal or added ones stay as they are and change nothing."""
+    rows = [(i, f"w{i} " * (i % 7 + 1), "en", f"src{i % 4}") for i in range(60)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    odd = plain
+    names = ["_whole", "_end", "_domain", "_n_tokens", "_copies", "_mix_domain", "_MIX_n", "domain", "given", "a.b", "range", "key"]
+    for k, c in enumerate(names):
+        odd = odd.withColumn(c, F.lit(k))
+    domain = F.lit("web")
+    want = {r.doc_id for r in mix(plain, domain, WEIGHTS, share=0.5).collect()}
+    got = mix(odd, domain, WEIGHTS, share=0.5)
+    assert got.columns == [*odd.columns, "__domain", "__n_tokens", "__copies"]
+    out = got.collect()
+    assert {r.doc_id for r in out} == want and 0 < len(want) < 60
+    assert all([r[c] for c in names] == list(range(len(names))) for r in out)

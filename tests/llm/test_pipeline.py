@@ -54,3 +54,28 @@ def test_stages_one_by_one(spark, sf_dir):
 def test_run(spark, sf_dir):
     got = corpus_pipeline.run(spark, sf_dir)
     assert got.where(F.col("n_tokens") > 0).count() > 100
+
+
+def test_odd_tables(spark, sf_dir):
+    """Columns with internal names, repeated rows and ids, null ids and empty texts go through all stages."""
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(2000)}" for _ in range(40)) for _ in range(6)]
+    rows = [(1, texts[0]), (1, texts[0]), (1, texts[1]), (2, texts[1] + " tail"), (None, texts[2]), (None, texts[2]), (None, texts[3]), (3, None), (4, ""), (5, texts[4]), (5, texts[4])]
+    names = ["_score", "__score", "_whole", "_end", "_domain", "_n_tokens", "_copies", "_sha", "_near_id", "_copy_n", "_mix_n", "kept", "group_id", "text_hash", "a.b"]
+    docs = spark.createDataFrame([(i, t, "en", "src1", 3) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for k, c in enumerate(names):
+        docs = docs.withColumn(c, F.lit(k))
+    left = []
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, docs.limit(0), sf_dir)
+        columns, docs = docs.columns, stage(spark, docs, sf_dir)
+        assert empty.count() == 0 and empty.columns == docs.columns
+        if name != "bpe":
+            assert docs.columns == columns
+        docs = spark.createDataFrame(docs.collect(), docs.schema)
+        left.append(sorted(((r.doc_id, r.text) for r in docs.collect()), key=str) if name != "bpe" else None)
+    one = sorted([(1, texts[0]), (1, texts[1]), (2, texts[1] + " tail"), (None, texts[2]), (None, texts[3]), (4, ""), (5, texts[4])], key=str)
+    assert left[0] == sorted(rows, key=str)
+    assert [x for x in left[1] if x[1]] == [x for x in one if x[1]] and sum(not x[1] for x in left[1]) == 1
+    assert [x for x in left[2] if x[1]] == sorted([(1, texts[0]), (1, texts[1]), (None, texts[2]), (None, texts[3]), (5, texts[4])], key=str)
+    assert set(left[3]) <= set(left[2]) and left[3]

@@ -1,6 +1,9 @@
 import random
 import zlib
 
+import numpy as np
+import pytest
+
 from pitlake.llm import toxicity as t
 
 
@@ -42,8 +45,6 @@ def test_counterfactual_penalty_moves_the_weight():
     at = {f: i for i, f in enumerate(names)}
     own = [sorted(at[f] for f in t.features_of(w)) for w in words]
     other = [sorted(at[f] for f in t.features_of({t.SWAP.get(x, x) for x in w}) if f in at) if w & t.SWAP.keys() else None for w in words]
-    import numpy as np
-
     y = np.array([v for _, v in labels], float)
     free = t.train(len(names), own, other, y, t.Settings(counterfactual=0.0))[0]
     held = t.train(len(names), own, other, y, t.Settings(counterfactual=5.0))[0]
@@ -56,3 +57,36 @@ def test_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert [r.predicted for r in t.toxicity(docs, none).collect()] == [0]
     assert t.toxicity(docs.limit(0), none).collect() == []
+
+
+def test_score_names(spark):
+    """The score goes where it is told to, beside columns of any names; a taken name raises."""
+    docs = spark.createDataFrame([(1, "a", 7), (1, "a", 7), (None, None, 8)], "doc_id long, text string, _score int")
+    model = t.Model(0.0, {"a$": 1.0})
+    got = t.score(docs, model, score_col="found").collect()
+    assert sorted((r._score, round(r.found, 4)) for r in got) == [(7, 0.7311), (7, 0.7311), (8, 0.5)]
+    with pytest.raises(ValueError):
+        t.score(docs, model)
+
+
+def test_training_against_plain_descent():
+    """The training's scores are those of a plain proximal gradient descent: dense arrays, a small fixed step, no momentum."""
+    rows, labels = corpus(200)
+    words = [t.words_of(x) for _, x in rows]
+    names = sorted({w + "$" for x in words for w in x} | {w + "$" for w in t.SWAP})
+    at = {f: i for i, f in enumerate(names)}
+    own = [sorted(at[w + "$"] for w in x) for x in words]
+    other = [sorted(at[t.SWAP.get(w, w) + "$"] for w in x) if x & t.SWAP.keys() else None for x in words]
+    y, s = np.array([v for _, v in labels], float), t.Settings(l1=1e-3, l2=1e-2, counterfactual=0.5, rounds=5000)
+    dense = lambda lists: np.array([[float(i in set(x)) for i in range(len(names))] for x in lists])
+    x = dense(own)
+    moved = dense([own[i] for i, o in enumerate(other) if o is not None]) - dense([o for o in other if o is not None])
+    w, b, step = np.zeros(len(names)), 0.0, 0.05
+    for _ in range(30_000):
+        off = 1 / (1 + np.exp(-(x @ w + b))) - y
+        w = w - step * (x.T @ off / len(y) + s.l2 * w + 2 * s.counterfactual * moved.T @ (moved @ w) / len(moved))
+        w = np.sign(w) * np.maximum(np.abs(w) - step * s.l1, 0)
+        b -= step * off.mean()
+    gw, gb = t.train(len(names), own, other, y, s)
+    plain, got = (1 / (1 + np.exp(-(x @ v + c))) for v, c in ((w, b), (gw, gb)))
+    assert np.abs(plain - got).max() < 0.01
