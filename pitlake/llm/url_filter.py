@@ -3,10 +3,13 @@
 Every labelled url becomes a basket of its host labels and path words, with one
 more item if it is labelled bad. Spark's FP-growth finds the frequent
 combinations; those that imply the bad item with enough support and confidence
-become rules. A rule is indexed under its rarest token only, so a page meets the
-rules of its own rare tokens and not those of the common ones; the rest of a
-rule is then looked up in the page's basket. Fixed rules, where they fit, come
-first.
+become rules. Two things are settled before it runs, as they double the
+combinations with each token and add no page to what matches: a token that is a
+rule alone needs no company, and tokens that always come together are one item,
+of which a page needs any. A rule is indexed under its item that is rarest on the
+pages, so a page meets the rules of its own rare tokens and not those of the
+common ones; the rest of a rule is then looked up in the page's basket. Fixed
+rules, where they fit, come first.
 """
 
 from __future__ import annotations
@@ -17,6 +20,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pitlake.llm.common import cut, small_join
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BAD = "!bad"
 MIN_ROWS, MIN_SHARE, MIN_CONFIDENCE = 20, 1e-4, 0.5
@@ -71,17 +76,41 @@ def mine_rules(baskets: DataFrame, min_rows: int = MIN_ROWS, min_share: float =
     return model.associationRules.where(F.element_at("consequent", 1) == BAD).select(F.col("antecedent").alias("tokens"), "confidence", "support")
 
 
+def condensed_rules(baskets: DataFrame, min_rows: int = MIN_ROWS, min_share: float = MIN_SHARE, min_confidence: float = MIN_CONFIDENCE) -> DataFrame | None:
+    """Rules (groups array<array<string>>) that match what all rules of mine_rules match: a basket with a token of each group. None without any.
+
+    Groups are the tokens that occur in the same baskets.
+    """
+    baskets = cut(baskets.where(F.size("tokens") > 0).select(F.monotonically_increasing_id().alias("row"), "tokens", "bad"), "baskets")
+    n = baskets.count()
+    least = max(min_rows, int(n * min_share))
+    each = baskets.select("row", "bad", F.xxhash64("tokens").alias("a"), F.xxhash64("tokens", F.lit(1)).alias("b"), F.explode("tokens").alias("token"))
+    whole = lambda c: F.sum(F.col(c).cast("decimal(38,0)")).alias(c)
+    seen = each.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("n_bad"), whole("a"), whole("b")).where(F.col("n_bad") >= least)
+    seen = cut(seen.withColumn("alone", F.col("n_bad") / F.col("n") >= min_confidence), "tokens")  # at most 1/min_share of them for each token of a mean basket
+    same = seen.groupBy("n", "n_bad", "a", "b", "alone").agg(F.min("token").alias("item"), F.sort_array(F.collect_list("token")).alias("members"))
+    same = cut(same.select("item", "members", "alone"), "items")
+    rules = same.where("alone").select(F.array("members").alias("groups"))
+    items = same.where("NOT alone").select("item", F.explode("members").alias("token"))
+    fewer = cut(small_join(each.select("row", "bad", "token"), items, ["token"]).groupBy("row").agg(F.collect_set("item").alias("tokens"), F.first("bad").alias("bad")), "condensed")
+    longer = mine_rules(fewer.select("tokens", "bad"), least, 0.0, min_confidence)
+    if longer is not None:
+        named = longer.select(F.monotonically_increasing_id().alias("rule"), "tokens")
+        named = cut(named.withColumn("item", F.explode("tokens")).drop("tokens"), "rules")
+        rules = rules.unionByName(small_join(named, same.select("item", "members"), ["item"]).groupBy("rule").agg(F.collect_list("members").alias("groups")).select("groups"))
+    return None if rules.isEmpty() else rules
+
+
 def match_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """(page_id, url) of pages (page_id, url, tokens) that hold all tokens of some rule, each once."""
-    rarity = rules.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    index = (
-        rules.select(F.monotonically_increasing_id().alias("rule_id"), "tokens").withColumn("token", F.explode("tokens"))
-        .join(rarity, "token").groupBy("rule_id").agg(F.min_by("token", F.struct("n", "token")).alias("token"), F.first("tokens").alias("rule_tokens"))
-    )
-    return (
-        pages.withColumn("token", F.explode("tokens")).join(index, "token")
-        .where(F.size(F.array_except("rule_tokens", "tokens")) == 0).select("page_id", "url").distinct()
-    )
+    """(page_id, url) of pages (page_id, url, tokens) that hold a token of each group of some rule (groups), each once."""
+    numbered = cut(rules.select(F.monotonically_increasing_id().alias("rule"), "groups"), "rules")
+    parts = numbered.select("rule", F.posexplode("groups").alias("pos", "members")).withColumn("token", F.explode("members")).drop("members")
+    met = small_join(pages.select(F.explode("tokens").alias("token")), parts.select("token").distinct(), ["token"]).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    rarity = parts.join(met, "token").groupBy("rule", "pos").agg(F.sum("n").alias("n"))
+    rarest = rarity.groupBy("rule").agg(F.min_by("pos", F.struct("n", "pos")).alias("pos"))
+    index = cut(parts.join(rarest, ["rule", "pos"]).join(numbered, "rule").select("token", "groups"), "index")
+    held = F.forall("groups", lambda g: F.arrays_overlap(g, F.col("tokens")))
+    return small_join(pages.withColumn("token", F.explode("tokens")), index, ["token"]).where(held).select("page_id", "url").distinct()
 
 
 def judge_urls(
@@ -97,7 +126,7 @@ def judge_urls(
     own = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"))
     own = own.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url"))).withColumn("tokens", basket(F.col("host"), F.col("path")))
     marks = labelled.where(F.col("bad").isNotNull()).groupBy("page_id").agg(F.max("bad").alias("bad"))
-    rules = mine_rules(own.join(marks, "page_id").select("tokens", "bad"), **limits)
+    rules = condensed_rules(own.join(marks, "page_id").select("tokens", "bad"), **limits)
     if rules is None:
         judged = own.withColumn("hit", F.lit(False))
     else:
@@ -129,15 +158,22 @@ t AS (
       list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: 'p:' || regexp_replace(x, '[0-9]+', '#', 'g')))) AS tokens
   FROM u),
 m AS (SELECT doc_id, max(toxic = 1 OR quality = 0) AS bad FROM labels GROUP BY doc_id HAVING max(toxic = 1 OR quality = 0) IS NOT NULL),
-b AS (SELECT page_id, bad, tokens FROM t JOIN m ON doc_id = page_id WHERE len(tokens) > 0),
+b AS (SELECT row_number() OVER () AS rn, page_id, bad, tokens FROM t JOIN m ON doc_id = page_id WHERE len(tokens) > 0),
 n AS (SELECT greatest(20, floor(count(*) * 1e-4)) AS least FROM b),
+e AS (SELECT rn, bad, unnest(tokens) AS token FROM b),
+s AS (SELECT token, count(*) AS n, count(*) FILTER (bad) AS nb, list(rn ORDER BY rn) AS rows FROM e GROUP BY token HAVING count(*) FILTER (bad) >= (SELECT least FROM n)),
+alone AS (SELECT token FROM s WHERE nb / n >= 0.5),
+item AS (SELECT token, min(token) OVER (PARTITION BY rows) AS item FROM s WHERE nb / n < 0.5),
+c AS (SELECT rn, bad, list(DISTINCT item) AS items FROM e JOIN item USING (token) GROUP BY rn, bad),
 subsets AS (
-  SELECT bad, list_sort(list_filter(tokens, lambda x, i: (mask >> (i - 1)) % 2 = 1)) AS s
-  FROM (SELECT bad, tokens, unnest(range(1, (1 << len(tokens))::BIGINT)) AS mask FROM b)),
+  SELECT bad, list_sort(list_filter(items, lambda x, i: (mask >> (i - 1)) % 2 = 1)) AS s
+  FROM (SELECT bad, items, unnest(range(1, (1 << len(items))::BIGINT)) AS mask FROM c)),
 rules AS (
   SELECT s FROM subsets GROUP BY s
   HAVING count(*) FILTER (bad) >= (SELECT least FROM n) AND count(*) FILTER (bad) / count(*) >= 0.5),
-hits AS (SELECT DISTINCT page_id, url FROM t, rules WHERE list_has_all(tokens, s)),
+p AS (SELECT DISTINCT page_id, url, unnest(tokens) AS token FROM t),
+pi AS (SELECT page_id, url, list(DISTINCT item) AS items FROM p JOIN item USING (token) GROUP BY ALL),
+hits AS (SELECT page_id, url FROM p JOIN alone USING (token) UNION SELECT page_id, url FROM pi, rules WHERE list_has_all(items, s)),
 f AS (
   SELECT t.page_id, t.url, host, path, h.page_id IS NOT NULL AS hit,
     CASE WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
