@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitlake.llm.common import cut, small_join
+from pitlake.llm.common import cut, drop_cut, small_join
 
 TOKEN = r"[a-z0-9]+(?:\.[0-9]+)*"
 THRESHOLD = 0.6
@@ -46,11 +46,9 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
-def template_terms(spark: SparkSession, templates: list[tuple[str, str]]) -> DataFrame:
-    """(t, license, term, tf), as small as the templates."""
-    rows = [(i, name, text) for i, (name, text) in enumerate(templates)]
-    df = spark.createDataFrame(rows, "t int, license string, statement string")
-    return df.withColumn("term", F.explode(tokens(F.col("statement")))).groupBy("t", "license", "term").agg(F.count(F.lit(1)).alias("tf"))
+def listed_frame(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
+    """A few rows as literals of the plan."""
+    return spark.range(1).select(F.inline(F.array(*(F.struct(*(F.lit(x).alias(n) for x, n in zip(r, names.split()))) for r in rows))))
 
 
 def scan_licenses(
@@ -59,15 +57,16 @@ def scan_licenses(
     """One row per file: (doc_id, path, license, score, found, from_dir).
 
     found is header, file (a licence file), inherited (then from_dir names the directory) or null.
-    * files are known by their path; rows that share one are one file with several texts.
-    * null texts are empty and null paths have no directory: such files inherit nothing.
+    * every row is judged by its own text, also where rows share a path or have none.
+    * null texts are empty and null paths have no directory: such files inherit nothing and give nothing.
     * of equally similar templates the first listed counts; of several licence
       files in a directory the most similar, then the first path.
     * other columns are ignored; an empty table gives an empty result.
     """
     spark = files.sparkSession
-    own = files.select(F.col(id_col).alias("doc_id"), path.alias("path"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    terms = template_terms(spark, templates or TEMPLATES)
+    own = files.select(F.col(id_col).alias("doc_id"), path.alias("path"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
+    statements = listed_frame(spark, [(i, name, text) for i, (name, text) in enumerate(templates or TEMPLATES)], "t license statement")
+    terms = statements.withColumn("term", F.explode(tokens(F.col("statement")))).groupBy("t", "license", "term").agg(F.count(F.lit(1)).alias("tf"))
     listed = [(r["t"], r["license"], r["term"], r["tf"]) for r in terms.collect()]  # the templates themselves
     vocabulary = sorted({x[2] for x in listed})
     words = F.array(*map(F.lit, vocabulary))
@@ -89,24 +88,26 @@ def scan_licenses(
             if light >= (threshold * 0.999 * norms[t]) ** 2:
                 needed.add(term)
     names = dict((t, name) for t, name, *_ in listed)
-    model = F.broadcast(spark.createDataFrame([(t, names[t], term, x / norms[t]) for t, w in weights.items() for term, x in w.items()], "t int, license string, term string, tw double"))
-    idfs = F.broadcast(spark.createDataFrame(list(idf.items()), "term string, idf double"))
-    lines = own.select("path", F.posexplode(F.split("text", "\n")).alias("line", "words"))
-    lines = lines.select("path", "line", F.length("words").alias("chars"), tokens(F.col("words")).alias("words"))
-    lines = lines.where(F.arrays_overlap("words", F.array(*map(F.lit, sorted(needed)))))
-    each = lines.select("path", "line", "chars", F.explode("words").alias("term")).groupBy("path", "line", "chars", "term").agg(F.count(F.lit(1)).alias("tf"))
+    model = F.broadcast(listed_frame(spark, [(t, names[t], term, x / norms[t]) for t, w in sorted(weights.items()) for term, x in sorted(w.items())], "t license term tw"))
+    idfs = F.broadcast(listed_frame(spark, sorted(idf.items()), "term idf"))
+    # the texts are cut into lines and the lines into terms once more, and only then weighed
+    lines = own.select("path", "mark", F.posexplode(F.split("text", "\n")).alias("line", "words"))
+    lines = lines.select("path", "mark", "line", F.length("words").alias("chars"), tokens(F.col("words")).alias("words"))
+    lines = cut(lines.where(F.arrays_overlap("words", F.array(*map(F.lit, sorted(needed))))), "lines")
+    key = ["path", "mark", "line", "chars"]
+    each = lines.select(*key, F.explode("words").alias("term")).groupBy(*key, "term").agg(F.count(F.lit(1)).alias("tf"))
     each = each.join(idfs, "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(unseen)))
-    key = ["path", "line", "chars"]
     sizes = each.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
     dots = each.join(model, "term").groupBy(*key, "t", "license").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
-    same = [dots["path"].eqNullSafe(sizes["path"]), dots["line"] == sizes["line"], dots["chars"] == sizes["chars"]]
-    scored = dots.join(sizes, same).select(dots["path"], dots["line"], dots["chars"], "t", "license", F.round(F.col("dot") / F.col("size"), 6).alias("score"))
+    same = [dots["path"].eqNullSafe(sizes["path"]), *(dots[c] == sizes[c] for c in key[1:])]
+    scored = dots.join(sizes, same).select(*(dots[c] for c in key), "t", "license", F.round(F.col("dot") / F.col("size"), 6).alias("score"))
     best = F.struct("score", (-F.col("t")).alias("t"), "license")
     headers = scored.where(F.col("score") >= threshold).groupBy(*key).agg(F.max(best).alias("best"))
-    found = headers.groupBy("path").agg(F.max("best").alias("best"), F.sum("chars").alias("chars"))
-    found = cut(found.select("path", "best.license", "best.score", "chars"), "licenses")
-    where = own.select("doc_id", "path", F.length("text").alias("length"))
-    joined = where.alias("f").join(found.alias("l"), F.col("f.path").eqNullSafe(F.col("l.path")), "left").select(
+    found = headers.groupBy("path", "mark").agg(F.max("best").alias("best"), F.sum("chars").alias("chars"))
+    found = cut(found.select("path", "mark", "best.license", "best.score", "chars"), "licenses")
+    drop_cut(lines)
+    where = own.select("doc_id", "path", "mark", F.length("text").alias("length"))
+    joined = where.alias("f").join(found.alias("l"), F.col("f.path").eqNullSafe(F.col("l.path")) & (F.col("f.mark") == F.col("l.mark")), "left").select(
         "doc_id", "f.path", "license", "score", (F.col("chars") >= FILE_SHARE * F.col("length")).alias("is_file")
     ).withColumn("dir", F.when(F.instr("path", "/") > 0, F.regexp_extract("path", r"^(.*)/[^/]*$", 1)))
     joined = cut(joined, "files")
@@ -128,9 +129,9 @@ def scan_licenses(
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Licences of all `documents`, taken as files source/lang/doc_id."""
+    """Licences of all `documents`, taken as files: source/doc_id where the id ends in 0, source/lang/doc_id elsewhere."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return scan_licenses(docs, F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")))
+    return scan_licenses(docs, F.concat_ws("/", "source", F.when(F.col("doc_id") % 10 != 0, F.col("lang")), F.col("doc_id").cast("string")))
 
 
 def _sql() -> str:
@@ -141,7 +142,9 @@ WITH templates(t, license, statement) AS (VALUES
 term AS (
   SELECT t, license, term, count(*) AS tf
   FROM (SELECT t, license, unnest(regexp_extract_all(lower(statement), '{TOKEN}')) AS term FROM templates) GROUP BY ALL),
-files AS (SELECT doc_id, source || '/' || lang || '/' || doc_id AS path, source || '/' || lang AS dir, source AS top, coalesce(text, '') AS text FROM documents),
+files AS (
+  SELECT doc_id, dir || '/' || doc_id AS path, dir, top, coalesce(text, '') AS text
+  FROM (SELECT *, CASE WHEN doc_id % 10 = 0 THEN source ELSE source || '/' || lang END AS dir, source AS top FROM documents)),
 n AS (SELECT count(*) AS n FROM files),
 df AS (
   SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '{TOKEN}'))) AS term FROM files)
@@ -163,10 +166,10 @@ joined AS (
   SELECT doc_id, files.path, dir, top, best.license AS license, best.score AS score, chars >= {FILE_SHARE} * length(text) AS is_file
   FROM files LEFT JOIN found ON found.path = files.path),
 given AS (SELECT dir, max_by(license, struct_pack(s := score, p := reverse(path))) AS dir_license FROM joined WHERE is_file GROUP BY dir)
-SELECT doc_id, path, coalesce(license, dir_license) AS license, score,
-       CASE WHEN license IS NOT NULL AND is_file THEN 'file' WHEN license IS NOT NULL THEN 'header' WHEN dir_license IS NOT NULL THEN 'inherited' END AS found,
-       CASE WHEN license IS NULL AND dir_license IS NOT NULL THEN joined.dir END AS from_dir
-FROM joined LEFT JOIN given ON given.dir = joined.dir
+SELECT doc_id, path, coalesce(license, own.dir_license, up.dir_license) AS license, score,
+       CASE WHEN license IS NOT NULL AND is_file THEN 'file' WHEN license IS NOT NULL THEN 'header' WHEN coalesce(own.dir_license, up.dir_license) IS NOT NULL THEN 'inherited' END AS found,
+       CASE WHEN license IS NULL THEN coalesce(own.dir, up.dir) END AS from_dir
+FROM joined LEFT JOIN given own ON own.dir = joined.dir LEFT JOIN given up ON up.dir = joined.top
 """
 
 

@@ -30,3 +30,11 @@ def test_repeated_rows_and_empty(spark):
     df = spark.createDataFrame([(1, "a/x", "Released under the MIT License.")] * 3, "doc_id long, file string, text string")
     assert [r.license for r in scan_licenses(df, F.col("file")).collect()] == ["MIT"] * 3
     assert scan_licenses(df.limit(0), F.col("file")).collect() == []
+
+
+def test_null_and_shared_paths(spark):
+    """Texts without a path, or with the same one, don't lend each other their licences."""
+    rows = [(1, None, "plain words of a story"), (2, None, "Released under the MIT License."), (None, None, "more plain words"), (3, "a/x", "Released under the ISC License\n" + "tale " * 200), (4, "a/x", "tale " * 30)]
+    df = spark.createDataFrame([(i, p, t, 1, "m") for i, p, t in rows], "doc_id long, file string, text string, line int, mark string")
+    got = {r.doc_id: (r.license, r.found) for r in scan_licenses(df, F.col("file")).collect()}
+    assert got == {1: (None, None), 2: ("MIT", "file"), None: (None, None), 3: ("ISC", "header"), 4: (None, None)}
