@@ -8,7 +8,10 @@ what the rest can still add is bounded by the lengths of the two suffixes, and a
 pair is given up as soon as the bound falls below the threshold. What is left is
 decided by the cosine in double precision of the vectors as they came.
 
-Equal vectors are one row before that, with a count, so copies cost nothing.
+Equal vectors are one row before that, with a count, so copies cost nothing. A
+tile tells for each of its vectors how many others it links with there and one
+vector that stands for all it reaches there, so what a tile sends on grows with
+its rows and not with the pairs in it.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ from pitlake.llm.common import components, cut, hot_keys, salted
 SIMILAR = 0.9
 BLOCK = 4096
 STEP = 8
+SIDE = 4  # tiles of one block that a place takes
 KINDS = {"float": np.float32, "double": np.float64}  # vectors travel as they came
 MARGIN = 1e-4  # what single precision may err by in the bounds
 
@@ -104,25 +108,44 @@ def prefix_scan(a: np.ndarray, b: np.ndarray, limit: float, ends: tuple[int, ...
 
 
 def tile_links(axes: np.ndarray, ends: tuple[int, ...], limit: float, kind: str):
-    """Links of tiles (ids, vectors of two blocks as numbers of this kind, same): pairs of classes with an exact cosine of limit or more."""
+    """What tiles (ids, counts, vectors of two blocks as bytes, same) hold, by exact cosines of limit or more.
+
+    Gives (vec_id, more, root): the rows that a class links with, and the least class that it reaches, in this tile.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                row = batch.slice(r, 1)
-                ia, ib = (np.frombuffer(row.column(c)[0].as_py(), np.int64) for c in (0, 2))
-                xa, xb = (np.frombuffer(row.column(c)[0].as_py(), KINDS[kind]).reshape(len(i), -1).astype(np.float64) for c, i in ((1, ia), (3, ib)))
-                ua, ub = unit(xa), unit(xb)
-                i, j = prefix_scan(ua @ axes, ub @ axes, limit, ends)
-                ok = ia[i] < ib[j] if row.column(4)[0].as_py() else ia[i] != ib[j]
+                ia, na, xa, ib, nb, xb, same = (batch.column(c)[r].as_py() for c in range(7))
+                ia, na, ib, nb = (np.frombuffer(x, np.int64) for x in (ia, na, ib, nb))
+                xa, xb = (np.frombuffer(x, KINDS[kind]).reshape(len(i), -1).astype(np.float64) for x, i in ((xa, ia), (xb, ib)))
+                i, j = prefix_scan(unit(xa) @ axes, unit(xb) @ axes, limit, ends)
+                ok = ia[i] < ib[j] if same else ia[i] != ib[j]
                 i, j = i[ok], j[ok]
                 ok = exact_cosine(xa, xb, i, j) >= limit
                 i, j = i[ok], j[ok]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ia[i], ib[j])), pa.array(np.maximum(ia[i], ib[j]))], ["src", "dst"])
+                ids, at = np.unique(np.concatenate([ia[i], ib[j]]), return_inverse=True)
+                more = np.bincount(at, np.concatenate([nb[j], na[i]]), len(ids)).astype(np.int64)
+                roots = ids[least_reached(len(ids), at[: len(i)], at[len(i) :])]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, more, roots)], ["vec_id", "more", "root"])
 
     return run
 
 
+def least_reached(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least of 0..n-1 that each reaches along the edges (a, b)."""
+    low = np.arange(n)
+    while True:
+        new = low.copy()
+        np.minimum.at(new, a, low[b])
+        np.minimum.at(new, b, low[a])
+        np.minimum.at(new, low, new)
+        new = new[new]
+        if (new == low).all():
+            return low
+        low = new
+
+
 def exact_cosine(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     a, b = a / np.abs(a).max(1, keepdims=True), b / np.abs(b).max(1, keepdims=True)
     na, nb = np.sqrt((a * a).sum(1)), np.sqrt((b * b).sum(1))
@@ -130,17 +153,17 @@ def exact_cosine(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) ->
 
 
 def pack(kind: str):
-    """(blk, vec_id, embedding, p) rows to (blk, ids, vectors, lo, hi), the first two as bytes; a block may come in several pieces."""
+    """(blk, vec_id, n, embedding, p) rows to (blk, ids, counts, vectors, lo, hi), three of them as bytes; a block may come in several pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            blk = np.asarray(batch.column(0))
-            ids, x, p = np.asarray(batch.column(1)), matrix(batch.column(2)).astype(KINDS[kind]), np.asarray(batch.column(3))
-            rows = [(int(k), ids[m].tobytes(), x[m].tobytes(), float(p[m].min()), float(p[m].max())) for k in np.unique(blk) for m in (blk == k,)]
-            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], ["blk", "ids", "vectors", "lo", "hi"])
+            blk, ids, n, p = (np.asarray(batch.column(c)) for c in (0, 1, 2, 4))
+            x = matrix(batch.column(3)).astype(KINDS[kind])
+            rows = [(int(k), ids[m].tobytes(), n[m].tobytes(), x[m].tobytes(), float(p[m].min()), float(p[m].max())) for k in np.unique(blk) for m in (blk == k,)]
+            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], ["blk", "ids", "counts", "vectors", "lo", "hi"])
 
     return run
 
@@ -176,9 +199,8 @@ def link_vectors(vectors: DataFrame, limit: float = SIMILAR, id_col: str = "vec_
     if links is None:
         return alone.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     links = cut(links, "links")
-    both = links.union(links.select("dst", "src"))
-    near = both.join(classes.select(F.col("vec_id").alias("dst"), "n"), "dst").groupBy("src").agg(F.sum("n").alias("more")).withColumnRenamed("src", "vec_id")
-    groups = components(links).withColumnRenamed("id", "vec_id")
+    near = links.groupBy("vec_id").agg(F.sum("more").alias("more"))
+    groups = components(links.select(F.col("vec_id").alias("src"), F.col("root").alias("dst"))).withColumnRenamed("id", "vec_id")
     told = classes.select("key", "vec_id", "n").join(near, "vec_id", "left").join(groups, "vec_id", "left").select(
         "key", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id")
     )
@@ -189,7 +211,7 @@ def link_vectors(vectors: DataFrame, limit: float = SIMILAR, id_col: str = "vec_
 
 
 def links_of_width(classes: DataFrame, width: int, rows: int, limit: float, block: int, kind: str) -> DataFrame:
-    """Links (src, dst) between classes of one vector length."""
+    """(vec_id, more, root) of the tiles over the classes of one vector length."""
     spark = classes.sparkSession
     axes, shares = principal_axes(classes, width)
     ends = stops(shares, limit)
@@ -207,19 +229,24 @@ def links_of_width(classes: DataFrame, width: int, rows: int, limit: float, bloc
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = unit(matrix(batch.column(1))) @ lead.value if batch.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(borders, p, side="left")), *batch.columns, pa.array(p, pa.float64())], ["blk", "vec_id", "embedding", "p"])
+            p = unit(matrix(batch.column(2))) @ lead.value if batch.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(borders, p, side="left")), *batch.columns, pa.array(p, pa.float64())], ["blk", "vec_id", "n", "embedding", "p"])
 
-    dealt = classes.select("vec_id", "embedding").mapInArrow(deal, f"blk long, vec_id long, embedding array<{kind}>, p double")
-    packed = cut(dealt.repartition(blocks, "blk").mapInArrow(pack(kind), "blk long, ids binary, vectors binary, lo double, hi double"), "pieces").withColumn("piece", F.xxhash64("ids"))
+    dealt = classes.select("vec_id", "n", "embedding").mapInArrow(deal, f"blk long, vec_id long, n long, embedding array<{kind}>, p double")
+    packed = cut(dealt.repartition(blocks, "blk").mapInArrow(pack(kind), "blk long, ids binary, counts binary, vectors binary, lo double, hi double"), "pieces").withColumn("piece", F.xxhash64("ids"))
     spans = sorted((r["blk"], r["lo"], r["hi"]) for r in packed.groupBy("blk").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect())  # a row for each block
     plan = spark.createDataFrame([(k, reach(spans, i, limit)) for i, (k, *_) in enumerate(spans)], "blk long, most long")
-    plan = plan.withColumn("blk2", F.explode(F.sequence("blk", "most"))).drop("most")
+    # each block goes to the tiles it opens, and the block it faces there to one place for every SIDE of them
+    parts = ("ids", "counts", "vectors", "piece")
     tasks = max(1, min(blocks * (blocks + 1) // 2, 20_000))
-    other = packed.select(F.col("blk").alias("blk2"), F.col("ids").alias("ids2"), F.col("vectors").alias("vectors2"), F.col("piece").alias("piece2"))
-    faced = plan.join(packed, "blk").join(other, "blk2").where((F.col("blk") < F.col("blk2")) | (F.col("piece") <= F.col("piece2")))
-    faced = faced.select("ids", "vectors", "ids2", "vectors2", ((F.col("blk") == F.col("blk2")) & (F.col("piece") == F.col("piece2"))).alias("same"))
-    return faced.repartition(tasks).mapInArrow(tile_links(axes, ends, limit, kind), "src long, dst long").distinct()
+    sides = -(-blocks // SIDE)
+    near = plan.join(packed.select("blk", *parts), "blk").withColumn("blk2", F.explode(F.sequence("blk", "most"))).withColumn("side", F.col("blk") % sides)
+    other = packed.select(F.col("blk").alias("blk2"), *(F.col(c).alias(f"{c}2") for c in parts)).withColumn("side", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(sides - 1).cast("long"))))
+    faced = near.repartition(tasks, "blk2", "side").join(other.repartition(tasks, "blk2", "side"), ["blk2", "side"])
+    faced = faced.where((F.col("blk") < F.col("blk2")) | (F.col("piece") <= F.col("piece2")))
+    same = (F.col("blk") == F.col("blk2")) & (F.col("piece") == F.col("piece2"))
+    faced = faced.select("ids", "counts", "vectors", "ids2", "counts2", "vectors2", same.alias("same"))
+    return faced.mapInArrow(tile_links(axes, ends, limit, kind), "vec_id long, more long, root long")
 
 
 def reach(spans: list[tuple[int, float, float]], i: int, limit: float) -> int:

@@ -61,3 +61,25 @@ def test_double_vectors_keep_their_precision(spark):
         want[i] = sorted(j for j in good if j != i and good[i] @ good[j] / np.sqrt((good[i] @ good[i]) * (good[j] @ good[j])) >= 0.9)
     assert want == {1: [3, 4], 2: [], 3: [1, 4], 4: [1, 3], 5: [6], 6: [5]}
     assert got == {i: (len(x), min([i, *x])) for i, x in want.items()}
+
+
+def test_least_reached():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 50, 400):
+        a, b = rng.integers(0, n, n // 2), rng.integers(0, n, n // 2)
+        low = list(range(n))
+        for _ in range(n):
+            for x, y in zip(a, b):
+                low[x] = low[y] = min(low[x], low[y])
+        assert v.least_reached(n, a, b).tolist() == low
+    chain = np.arange(5000)
+    assert not v.least_reached(5001, chain[::-1], chain[::-1] + 1).any()
+
+
+def test_a_tile_sends_rows_not_pairs(spark):
+    """A group of vectors that all link with each other leaves a tile as one row each."""
+    rng = np.random.default_rng(9)
+    x = (np.ones((300, 16)) + 0.01 * rng.normal(size=(300, 16))).astype(np.float32)
+    classes = spark.createDataFrame([(i, 1, r.tolist()) for i, r in enumerate(x)], "vec_id long, n long, embedding array<float>")
+    got = v.links_of_width(classes, 16, 300, 0.9, 4096, "float").collect()
+    assert len(got) == 300 and {(r.more, r.root) for r in got} == {(299, 0)}
