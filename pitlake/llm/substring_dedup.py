@@ -10,15 +10,19 @@ windows of an anchor are one piece of text (a run).
 1. Documents are dealt into packs by a hash of their id. Each pack lists the
    distinct hashes of its anchors; a list met in one place tells which anchors
    occur in more than one document. Only those go on.
-2. Splitters sampled from the anchors' leading bytes divide them into ranges.
-   Each pack sends every distinct run once, with its smallest document id, to the
-   range of its anchor. An anchor of very many packs is split further: its
-   windows travel singly and are placed by their own bytes too.
+2. Splitters sampled from the anchors' leading bytes divide them into ranges; a
+   range that the bounded number of splitters leaves too large is dealt further by
+   a hash of the anchor. Each pack sends every distinct run once, with its smallest
+   document id, to the range of its anchor. The windows of an anchor of very many
+   packs travel singly, are dealt by their own bytes too, and are combined by
+   groups of packs before their range sees them.
 3. A range sorts its windows by multikey quicksort, eight bytes at a time, and
    neighbours in that order that are equal share their smallest document id. The
-   sort goes by pieces of whole anchor groups. Equal windows have equal anchors,
-   so none straddle pieces or ranges and nothing is compared across borders; a
-   piece is as large as its last anchor group takes it, without a bound.
+   sort goes by pieces of whole anchor groups, or, where one group is larger than
+   a piece, by pieces of it in the order of its windows; the last window of a
+   piece is compared with the first of the next, so equal windows on both sides
+   of a border are one. Ranges hold whole anchors, or whole windows, and need no
+   comparison between them.
 4. Each pack marks what its documents have to give up.
 
 Texts are shuffled once, by pack; what the later steps send are hashes, bits and
@@ -30,6 +34,7 @@ from __future__ import annotations
 import bisect
 import hashlib
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,11 +43,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pitlake.llm.common import cut
+
 LENGTH, GRAM = 50, 20
 PACK_BYTES = 2 << 20
 FILTER_BYTES = 6 << 20
 RANGE_BYTES = 4 << 20
-HOT_PACKS = 4096
+HOT_PACKS = 4096  # an anchor of more packs travels by window
+FAN = 1024  # packs whose windows of such anchors are combined together
 SAMPLE_BYTES, SAMPLE_KEYS = 16 << 20, 50_000
 PIECE = 200_000  # windows sorted at once
 CHUNK = 1 << 18  # bytes hashed at once
@@ -192,6 +200,32 @@ def window_words(data: bytes, at: np.ndarray, length: int) -> list[np.ndarray]:
     return [every[at + p].astype(_U) for p in places]
 
 
+def pieces_in_order(data: bytes, at: np.ndarray, length: int, piece: int) -> Iterator[np.ndarray]:
+    """Numbers of the windows from each place in pieces of at most `piece`, one after the other in the order of their text; within a piece in any order."""
+
+    def split(part: np.ndarray, place: int) -> Iterator[np.ndarray]:
+        if len(part) <= piece:
+            yield part
+        elif place >= length:  # equal throughout
+            for k in range(0, len(part), piece):
+                yield part[k : k + piece]
+        else:
+            word = every[at[part] + min(place, length - 8)]
+            order = np.argsort(word, kind="stable")
+            part, word = part[order], word[order]
+            ends = np.append(np.nonzero(word[1:] != word[:-1])[0] + 1, len(part))
+            lo = 0
+            while lo < len(part):
+                # as many whole groups of one leading word as fit, or a single one to be split by its next word
+                k = int(np.searchsorted(ends, lo + piece, side="right")) - 1
+                hi = int(ends[k]) if k >= 0 and ends[k] > lo else int(ends[k + 1])
+                yield from split(part[lo:hi], place + 8 if hi - lo > piece else place)
+                lo = hi
+
+    every = np.ndarray((max(0, len(data) - 7),), ">u8", data, strides=(1,))
+    yield from split(np.arange(len(at)), 0)
+
+
 def least_documents(runs: list[bytes], docs: np.ndarray, length: int, gram: int, piece: int = PIECE) -> list[np.ndarray]:
     """For each run (a byte with the anchor's place, then the text) and each of its windows the smallest document id of equal windows in all runs."""
     order = sorted(range(len(runs)), key=lambda i: runs[i][1 + runs[i][0] : 1 + runs[i][0] + gram])
@@ -199,32 +233,53 @@ def least_documents(runs: list[bytes], docs: np.ndarray, length: int, gram: int,
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(runs)
     if not order:
         return out
-    # pieces of whole anchor groups
-    ends, total, last = [], 0, b""
+    # whole anchor groups, several together or one that is larger than a piece
+    starts, total, group, last = [0], 0, 0, None
     for n, i in enumerate(order):
         key = runs[i][1 + runs[i][0] : 1 + runs[i][0] + gram]
-        if total >= piece and key != last:
-            ends.append(n)
-            total = 0
-        total, last = total + int(counts[n]), key
-    for lo, hi in zip([0, *ends], [*ends, len(order)]):
+        if key != last:
+            if total and total + group > piece:
+                starts.append(first)
+                total = 0
+            total, group, first, last = total + group, 0, n, key
+        group += int(counts[n])
+    if total and total + group > piece:
+        starts.append(first)
+    starts = sorted(set(starts))
+    for lo, hi in zip(starts, [*starts[1:], len(order)]):
         part = order[lo:hi]
         data = b"".join([runs[i] for i in part])
         size = np.array([len(runs[i]) for i in part], np.int64)
         begin, n = np.cumsum(size) - size + 1, counts[lo:hi]
         stop = np.cumsum(n)
         at = np.arange(stop[-1]) + np.repeat(begin - (stop - n), n)
-        turn, same = multikey_order(window_words(data, at, length))
-        heads = np.nonzero(~same)[0]
-        least = np.minimum.reduceat(np.repeat(docs[part], n)[turn], heads)
-        found = np.empty(len(at), np.int64)
-        found[turn] = np.repeat(least, np.diff(np.append(heads, len(at))))
+        whose = np.repeat(docs[part], n)
+        group_of, lows, border = np.empty(len(at), np.int64), [], None
+        for some in pieces_in_order(data, at, length, piece):
+            turn, same = multikey_order(window_words(data, at[some], length))
+            some = some[turn]
+            same[0] = data[at[some[0]] : at[some[0]] + length] == border  # the last window before this piece
+            border = data[at[some[-1]] : at[some[-1]] + length]
+            heads = np.nonzero(~same)[0]
+            group_of[some] = len(lows) - 1 + np.cumsum(~same)
+            if same[0]:
+                lows[-1] = min(lows[-1], int(whose[some[: heads[0] if len(heads) else None]].min()))
+            if len(heads):
+                lows += np.minimum.reduceat(whose[some], heads).tolist()
+        found = np.array(lows, np.int64)[group_of]
         for i, a, b in zip(part, stop - n, stop):
             out[i] = found[a:b]
     return out
 
 
-def pack_runs(runs: Runs, ids: np.ndarray, flags: dict[int, tuple[np.ndarray, np.ndarray]], buckets: int, splitters: list[bytes], length: int, gram: int):
+def range_of(key: bytes, window: bytes | None, splitters: list[bytes], shares: tuple[int, int]) -> int:
+    """The range of an anchor by its leading bytes and a share of it by a hash: of the anchor, or of a window that travels alone; the latter are odd."""
+    burst = window is not None
+    share = zlib.crc32(window if burst else key) % shares[burst]
+    return (bisect.bisect_right(splitters, key) * max(shares) + share) * 2 + burst
+
+
+def pack_runs(runs: Runs, ids: np.ndarray, flags: dict[int, tuple[np.ndarray, np.ndarray]], buckets: int, splitters: list[bytes], shares: tuple[int, int], length: int, gram: int):
     """The repeated runs of a pack, each distinct one once, by range.
 
     Gives the range of each distinct run, its bytes, its smallest document id, and for each
@@ -239,7 +294,7 @@ def pack_runs(runs: Runs, ids: np.ndarray, flags: dict[int, tuple[np.ndarray, np
     taken = np.nonzero(dup[spot])[0] if len(h) else np.zeros(0, np.int64)
     number: dict[bytes, int] = {}
     least: list[int] = []
-    keys: list[bytes] = []
+    ranges: list[int] = []
     occ: list[int] = []
     occ_doc: list[int] = []
     occ_at: list[int] = []
@@ -251,14 +306,13 @@ def pack_runs(runs: Runs, ids: np.ndarray, flags: dict[int, tuple[np.ndarray, np
             i = number.setdefault(run, len(least))
             if i == len(least):
                 least.append(doc)
-                keys.append(data[p : p + gram] + (run[1:] if burst else b""))
+                ranges.append(range_of(data[p : p + gram], run[1:] if burst else None, splitters, shares))
             elif doc < least[i]:
                 least[i] = doc
             occ.append(i)
             occ_doc.append(d)
             occ_at.append(lo)
-    ranges = np.array([bisect.bisect_right(splitters, k) for k in keys], np.int64)
-    return ranges, list(number), np.array(least, np.int64), np.array(occ, np.int64), np.array(occ_doc, np.int64), np.array(occ_at, np.int64)
+    return np.array(ranges, np.int64), list(number), np.array(least, np.int64), np.array(occ, np.int64), np.array(occ_doc, np.int64), np.array(occ_at, np.int64)
 
 
 def to_blob(parts: list[bytes]) -> tuple[bytes, bytes]:
@@ -279,7 +333,7 @@ def flags_of(table: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", hot_packs: int = HOT_PACKS, pack_bytes: int = PACK_BYTES, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", hot_packs: int = HOT_PACKS, pack_bytes: int = PACK_BYTES, with_text: bool = False, fan: int = FAN) -> DataFrame:
     """One row per input row: (doc_id, n_bytes, n_removed, n_spans, kept_sha256), with `with_text` also kept (binary).
 
     * null texts are empty; texts shorter than `length` keep all.
@@ -292,7 +346,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     total = own.agg(F.sum(F.octet_length("data"))).collect()[0][0] or 0
     packs, buckets, ranges = (max(4, math.ceil(total / x)) for x in (pack_bytes, FILTER_BYTES, RANGE_BYTES))
     tasks = min(packs, 20_000)
-    splitters = sampled_splitters(own, total, ranges, length, gram)
+    splitters = sampled_splitters(own, total, min(ranges, SAMPLE_KEYS), length, gram)
+    shares = (-(-ranges // SAMPLE_KEYS), -(-packs // hot_packs))  # of a range, for runs and for single windows
     shared = spark.sparkContext.broadcast(splitters)  # at most SAMPLE_KEYS keys
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
 
@@ -337,7 +392,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
         out = {"range": [], "pack": [], "sizes": [], "blob": [], "docs": []}
         if left.num_rows:
             runs, ids, _ = comparable(in_order(left))
-            where, parts, least, *_ = pack_runs(runs, ids, flags_of(right), buckets, shared.value, length, gram)
+            where, parts, least, *_ = pack_runs(runs, ids, flags_of(right), buckets, shared.value, shares, length, gram)
             order = np.argsort(where, kind="stable")
             cuts = np.nonzero(np.append(True, where[order][1:] != where[order][:-1]))[0] if len(order) else []
             for a, b in zip(cuts, [*cuts[1:], len(order)]):
@@ -349,7 +404,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
 
     sent = text.groupBy("pack").cogroup(flags.groupBy("pack")).applyInArrow(send, "range long, pack long, sizes binary, blob binary, docs binary")
 
-    def sort_range(table: pa.Table) -> pa.Table:
+    group = F.floor(F.col("pack") / fan).alias("group")  # of packs
+    combine_too = packs > hot_packs  # else no anchor is in so many packs
+    if combine_too:
+        sent = cut(sent, "sent")
+        single = sent.where("range % 2 = 1").withColumn("group", group)
+
+    def distinct_runs(table: pa.Table) -> tuple[dict[bytes, int], list[int], list[tuple[np.ndarray, list[int]]]]:
+        """Runs by number, their smallest document ids, and for each row its own ids and the numbers of its runs."""
         number: dict[bytes, int] = {}
         every, least = [], []
         for sizes, blob, docs_ in zip(*(table.column(c).to_pylist() for c in ("sizes", "blob", "docs"))):
@@ -362,6 +424,36 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
                     least[i] = d
                 index.append(i)
             every.append((own_docs, index))
+        return number, least, every
+
+    def combine(table: pa.Table) -> pa.Table:
+        """The single windows of a group of packs as one row; its pack is below zero."""
+        number, least, _ = distinct_runs(table.sort_by("pack"))
+        sizes, blob = to_blob(list(number))
+        row = {"range": table.column("range")[0].as_py(), "pack": -1 - table.column("group")[0].as_py(), "sizes": sizes, "blob": blob, "docs": np.array(least, np.int64).tobytes()}
+        return pa.table({k: pa.array([v], t) for (k, v), t in zip(row.items(), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))})
+
+    def hand_out(members: pa.Table, answer: pa.Table) -> pa.Table:
+        """What a group of packs was told, for each of its packs."""
+        if not members.num_rows or not answer.num_rows:
+            return pa.table({n: pa.array([], t) for n, t in zip(("pack", "range", "n", "spans", "lows"), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))})
+        members = members.sort_by("pack")
+        _, least, every = distinct_runs(members)
+        low = np.array(least, np.int64)
+        told = np.frombuffer(answer.column("n")[0].as_py(), np.uint8).astype(bool)
+        low[told] = np.frombuffer(zstandard.ZstdDecompressor().decompress(answer.column("lows")[0].as_py()), np.int64)
+        rows = []
+        for own_docs, index in every:
+            found = low[index]
+            news = found != own_docs
+            rows.append((news.astype(np.uint8).tobytes(), np.ones(int(news.sum()), np.uint8).tobytes(), zstandard.ZstdCompressor(1).compress(found[news].tobytes())))
+        return pa.table({
+            "pack": members.column("pack"), "range": members.column("range"), "n": pa.array([r[0] for r in rows], pa.binary()),
+            "spans": pa.array([r[1] for r in rows], pa.binary()), "lows": pa.array([r[2] for r in rows], pa.binary()),
+        })
+
+    def sort_range(table: pa.Table) -> pa.Table:
+        number, least, every = distinct_runs(table)
         found = least_documents(list(number), np.array(least, np.int64), length, gram)
         told = []  # each distinct run's windows as (count, smallest id) runs
         for x in found:
@@ -379,7 +471,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
             "spans": pa.array([r[1] for r in rows], pa.binary()), "lows": pa.array([r[2] for r in rows], pa.binary()),
         })
 
-    answers = sent.groupBy("range").applyInArrow(sort_range, "pack long, range long, n binary, spans binary, lows binary")
+    told = "pack long, range long, n binary, spans binary, lows binary"
+    if combine_too:
+        fewer = single.groupBy("range", "group").applyInArrow(combine, "range long, pack long, sizes binary, blob binary, docs binary")
+        answers = sent.where("range % 2 = 0").unionByName(fewer).groupBy("range").applyInArrow(sort_range, told)
+        answers = cut(answers, "answers")
+        for_groups = answers.where("pack < 0").withColumn("group", -1 - F.col("pack"))
+        for_packs = single.groupBy("range", "group").cogroup(for_groups.groupBy("range", "group")).applyInArrow(hand_out, told)
+        answers = answers.where("pack >= 0").unionByName(for_packs)
+    else:
+        answers = sent.groupBy("range").applyInArrow(sort_range, told)
     none = F.lit(None)
     side = flags.select("pack", "bucket", "dup", "hot", none.cast("long").alias("range"), none.cast("binary").alias("n"), none.cast("binary").alias("spans"), none.cast("binary").alias("lows")).unionByName(
         answers.select("pack", none.cast("long").alias("bucket"), none.cast("binary").alias("dup"), none.cast("binary").alias("hot"), "range", "n", "spans", "lows")
@@ -388,7 +489,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     def settle(left: pa.Table, right: pa.Table) -> pa.Table:
         left = in_order(left)
         runs, ids, texts = comparable(left)
-        where, parts, least, occ, occ_doc, occ_at = pack_runs(runs, ids, flags_of(right), buckets, shared.value, length, gram)
+        where, parts, least, occ, occ_doc, occ_at = pack_runs(runs, ids, flags_of(right), buckets, shared.value, shares, length, gram)
         order = np.argsort(where, kind="stable")
         n_of, first_of, spans, lows = np.ones(len(parts), np.int64), np.zeros(len(parts), np.int64), [], []
         # by default a run's own smallest document is the smallest of all its windows

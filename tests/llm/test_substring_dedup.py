@@ -64,6 +64,43 @@ def test_hot_anchors_travel_by_window(spark):
     assert run(spark, rows, hot_packs=2, pack_bytes=500) == want == run(spark, rows)
 
 
+def test_window_in_every_pack(spark):
+    """A passage of all packs is combined by groups of packs first; the results stay the same whatever the groups."""
+    rng = random.Random(5)
+    rows = [(i, "".join(rng.choices("xyz", k=30)) + "a licence line that every document of the corpus repeats" + "".join(rng.choices("xyz", k=20))) for i in range(80)]
+    rows += [(200 + i, rows[i][1] + "W" * 60) for i in range(0, 80, 9)]
+    want = brute(rows, 50)
+    for fan in (1, 3, 1024):
+        assert run(spark, rows, hot_packs=2, pack_bytes=300, fan=fan) == want
+
+
+def test_border_inside_a_group():
+    """Pieces much smaller than a group of equal windows, and than an anchor's group: the borders are compared."""
+    rng = random.Random(9)
+    gram, length = 5, 12
+    texts = ["".join(rng.choices("ab", k=7)) + "GRAM!" + "".join(rng.choices("ab", k=7)) for _ in range(30)] * 3 + ["aaaaaaaGRAM!aaaaaaa"] * 20
+    runs = list(dict.fromkeys(bytes((7,)) + t.encode() for t in texts)) + [bytes((0,)) + b"other" + b"q" * 7, bytes((0,)) + b"zzzzz" + b"q" * 40]
+    docs = np.array([rng.randrange(1000) for _ in runs])
+    first = {}
+    for r, d in zip(runs, docs):
+        for k in range(len(r) - length):
+            w = r[1 + k : 1 + k + length]
+            first[w] = min(first.get(w, 10**9), d)
+    for piece in (1, 2, 3, 7, 50, 10_000):
+        got = s.least_documents(runs, docs, length, gram, piece)
+        assert [x.tolist() for x in got] == [[first[r[1 + k : 1 + k + length]] for k in range(len(r) - length)] for r in runs]
+
+
+def test_pieces_are_bounded_and_in_order():
+    rng = random.Random(11)
+    data = bytes(rng.choices(b"ab", k=3000)) + b"a" * 500
+    at = np.array(rng.sample(range(len(data) - 20), 2000))
+    got = list(s.pieces_in_order(data, at, 20, 64))
+    assert all(0 < len(x) <= 64 for x in got) and sorted(np.concatenate(got).tolist()) == list(range(2000))
+    text = lambda i: data[at[i] : at[i] + 20]
+    assert all(max(map(text, a)) <= min(map(text, b)) for a, b in zip(got, got[1:]))
+
+
 def test_empty(spark):
     assert run(spark, []) == []
     assert run(spark, [(1, None)]) == brute([(1, None)], 50)
