@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pitlake.operators.ranks import running_total
+
 
 def first_by(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of each key in the given order."""
@@ -51,8 +53,20 @@ def carry_first(df: DataFrame, key: Sequence[str], pos: str, columns: Sequence[s
     return df.groupBy(*key).agg(*(F.min_by(c, F.when(F.col(c).isNotNull(), F.col(pos))).alias(c) for c in columns))
 
 
-def tail_split(df: DataFrame, order: Sequence[str], share: float) -> DataFrame:
-    """Adds `calibration`: the last share of all rows in order (halves to even). The cut is found by rank, so small frames only."""
-    n = df.count()
-    cut = n - F.rint(F.lit(n * share))
-    return df.withColumn("calibration", F.row_number().over(W.orderBy(*order)) > cut)
+def tail_split(df: DataFrame, at: str, tie: str, share: float) -> DataFrame:
+    """Adds `calibration`: whether a row is in the last share of all rows (halves to even) in order of (at, tie).
+
+    Counts run over distinct instants in ranges; rows are ordered only inside the one instant that holds the cut. Rows without an instant come first.
+    """
+    total = df.count()
+    cut = total - round(total * share)
+    instants = df.groupBy(at).agg(F.count(F.lit(1)).alias("_n"))
+    run = running_total(instants, at, "_n", "_upto")
+    holds = run.where((F.col("_upto") > cut) & (F.col("_upto") - F.col("_n") < cut)).select(F.col(at).alias("_at"), (F.lit(cut) - F.col("_upto") + F.col("_n")).alias("_take")).collect()
+    after = run.where(F.col("_upto") - F.col("_n") >= cut).agg(F.min(at).alias("_from"), F.count_if(F.col(at).isNull()).alias("_null")).collect()[0]
+    late = F.coalesce(F.col(at) >= F.lit(after["_from"]), F.lit(bool(after["_null"])))
+    if not holds:
+        return df.withColumn("calibration", late)
+    instant = F.col(at).eqNullSafe(F.lit(holds[0]["_at"]))
+    inside = df.where(instant).withColumn("calibration", F.row_number().over(W.partitionBy(at).orderBy(tie)) > holds[0]["_take"])
+    return df.where(~instant).withColumn("calibration", late).unionByName(inside)

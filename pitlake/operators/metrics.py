@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pitlake.operators.ranks import running_total
+
 EPS = 1e-15
 #: fixed values: inner edges of ten equal bins as binary floating point has them
 BIN_EDGES = [0.1, 0.2, 0.30000000000000004, 0.4, 0.5, 0.6000000000000001, 0.7000000000000001, 0.8, 0.9]
@@ -37,13 +38,20 @@ def calibration_error(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) ->
     return bins.groupBy(*by).agg((F.sum(F.abs(F.col("_p") - F.col("_y"))) / F.sum("_n")).alias("ece"))
 
 
+def reliability_curve(df: DataFrame, y: str, p: str) -> DataFrame:
+    """(bin, n, mean_p, rate) of ten bins, empty ones with n = 0."""
+    found = df.groupBy(bin_of(F.col(p)).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(p).alias("mean_p"), F.avg(y).alias("rate"))
+    frame = df.sparkSession.range(10).select(F.col("id").cast("int").alias("bin"))
+    return F.broadcast(frame).join(found, "bin", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
 def auc(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
     """(by..., auc): area under the curve, ties counted half; null where one class is missing.
 
-    Rows are counted per value first; ranks run over distinct values only.
+    Rows are counted per value first; ranks run over distinct values, by ranges of values.
     """
     v = df.where(F.col(p).isNotNull() & F.col(y).isNotNull()).groupBy(*by, p).agg(F.sum((F.col(y) == 1).cast("long")).alias("_pos"), F.count(F.lit(1)).alias("_n"))
-    run = v.withColumn("_upto", F.sum("_n").over(W.partitionBy(*by, F.lit(0)).orderBy(p)))
+    run = running_total(v, p, "_n", "_upto", by)
     rank = F.col("_upto") - (F.col("_n") - 1) / 2
     s = run.groupBy(*by).agg(F.sum(rank * F.col("_pos")).alias("_r"), F.sum("_pos").alias("_p"), F.sum("_n").alias("_t"))
     neg = F.col("_t") - F.col("_p")
@@ -74,9 +82,9 @@ def buckets(df: DataFrame, x: Column, specs: Sequence[tuple[str, float, float |
 def terciles(df: DataFrame, x: str, name: str = "tercile") -> DataFrame:
     """Adds low, middle or high by the values at sorted positions n//3 and 2n//3; null stays missing.
 
-    The two values are found from counts per distinct value.
+    The two values are found from counts per distinct value, by ranges of values.
     """
-    counts = df.where(F.col(x).isNotNull()).groupBy(x).agg(F.count(F.lit(1)).alias("_n")).withColumn("_upto", F.sum("_n").over(W.orderBy(x)))
+    counts = running_total(df.where(F.col(x).isNotNull()).groupBy(x).agg(F.count(F.lit(1)).alias("_n")), x, "_n", "_upto")
     total = counts.agg(F.sum("_n").alias("_t"))
     at = lambda k: F.min(F.when(F.col("_upto") > F.floor(F.col("_t") * k / 3), F.col(x)))
     cuts = counts.crossJoin(F.broadcast(total)).agg(at(1).alias("_lo"), at(2).alias("_hi"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,9 +19,11 @@ r6 = lambda c: F.round(c, 6)
 def shared_folder(t: Tables, name: str) -> str:
     """A new folder all executors see."""
     base = t.spark.conf.get("spark.checkpoint.dir", None)
-    import uuid
-
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix=f"{name}-") + "/data"
+    if not base:
+        if not t.spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        return tempfile.mkdtemp(prefix=f"{name}-") + "/data"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def schedule_payloads(t: Tables) -> DataFrame:

@@ -52,14 +52,14 @@ def starter_form(t: Tables) -> DataFrame:
 
 
 @query("e06_bullpen_form", """
-WITH p AS (SELECT l_suppkey, l_orderkey, o_orderdate AS d, sum(l_quantity)::BIGINT AS outs, count(*) AS apps FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_suppkey < 40 GROUP BY ALL),
+WITH p AS (SELECT l_suppkey, l_orderkey, o_orderdate AS d, sum(l_quantity)::BIGINT AS outs, count(*) AS apps FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL),
 x AS (SELECT a.l_suppkey, a.l_orderkey, sum(b.outs) FILTER (a.d - b.d <= INTERVAL 1 DAY) AS o1, sum(b.outs) FILTER (a.d - b.d <= INTERVAL 3 DAY) AS o3, sum(b.apps) FILTER (a.d - b.d <= INTERVAL 3 DAY) AS a3
       FROM p a JOIN p b ON a.l_suppkey = b.l_suppkey AND (b.d, b.l_orderkey) < (a.d, a.l_orderkey) GROUP BY ALL)
 SELECT p.l_suppkey, p.l_orderkey, coalesce(o1, 0)::BIGINT AS outs_1d, coalesce(o3, 0)::BIGINT AS outs_3d, coalesce(a3, 0)::BIGINT AS apps_3d,
   (sum(outs) OVER (PARTITION BY p.l_suppkey ORDER BY d, p.l_orderkey ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING))::BIGINT AS outs_l7 FROM p LEFT JOIN x ON x.l_suppkey = p.l_suppkey AND x.l_orderkey = p.l_orderkey""")
 def bullpen_form(t: Tables) -> DataFrame:
     """Group lines per entity and game, then day windows (inclusive, strictly earlier in order) and the last 7 games."""
-    p = t.lineitem.where("l_suppkey < 40").join(t.orders.select("o_orderkey", "o_orderdate"), F.col("o_orderkey") == F.col("l_orderkey"))
+    p = t.lineitem.join(t.orders.select("o_orderkey", "o_orderdate"), F.col("o_orderkey") == F.col("l_orderkey"))
     p = p.groupBy("l_suppkey", "l_orderkey", F.col("o_orderdate").alias("d")).agg(F.sum("l_quantity").cast("long").alias("outs"), F.count(F.lit(1)).alias("apps"))
     x = history.prior_days(p, ["l_suppkey"], "d", ["l_orderkey"], {"outs": F.col("outs"), "apps": F.col("apps")}, [1, 3])
     x = history.last_rows(x, ["l_suppkey"], ["d", "l_orderkey"], {"outs": F.col("outs")}, [7])
@@ -120,20 +120,7 @@ def equal_time_conflict(t: Tables) -> DataFrame:
 SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) > n - round_even(n * 0.2, 0) AS calibration FROM orders, n""")
 def chronological_split(t: Tables) -> DataFrame:
     """Last fifth in time; the cut is found from counts by day, then inside one day only."""
-    return chronological_tail(t.orders, "o_orderdate", "o_orderkey", 0.2).select("o_orderkey", "calibration")
-
-
-def chronological_tail(df: DataFrame, at: str, tie: str, share: float) -> DataFrame:
-    """As latest.tail_split without one ordered partition: ranks are needed only inside the instant that holds the cut."""
-    from pyspark.sql import Window as W
-
-    days = df.groupBy(at).agg(F.count(F.lit(1)).alias("n"))  # distinct instants
-    run = days.withColumn("upto", F.sum("n").over(W.orderBy(at)))
-    total = days.agg(F.sum("n").alias("total"))
-    x = df.join(run, at).crossJoin(F.broadcast(total))  # one row
-    cut = F.col("total") - F.rint(F.col("total") * share)
-    inside = F.row_number().over(W.partitionBy(at).orderBy(tie))
-    return x.withColumn("calibration", F.col("upto") - F.col("n") + inside > cut).drop("n", "upto", "total")
+    return latest.tail_split(t.orders, "o_orderdate", "o_orderkey", 0.2).select("o_orderkey", "calibration")
 
 
 @query("i16_future_mutation", "SELECT 0::BIGINT AS changed, count(*) AS rows FROM orders")

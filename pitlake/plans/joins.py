@@ -20,17 +20,18 @@ def match_unique(t: Tables) -> DataFrame:
     return matching.match_unique(events, t.part.where("p_type <> 'PROMO'"), ["p_brand", "p_size"], "event_id", "p_partkey")
 
 
-@query("c02_match_with_start", """WITH c AS (SELECT o_orderkey AS id, o_custkey % 50 AS k, o_orderstatus AS s, o_orderdate AS st FROM orders WHERE o_orderkey % 40 = 0),
-e AS (SELECT o_orderkey AS event_id, o_custkey % 50 AS k, o_orderstatus AS s, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderdate END AS st FROM orders),
-n AS (SELECT e.event_id, any_value(e.st) AS st, count(c.id) AS n, min(c.id) AS id, count(c.id) FILTER (c.st = e.st) AS m, min(c.id) FILTER (c.st = e.st) AS sid FROM e LEFT JOIN c USING (k, s) GROUP BY 1)
+@query("c02_match_with_start", """WITH c AS (SELECT o_orderkey AS id, o_custkey AS k, o_orderstatus AS s, o_orderdate AS st FROM orders),
+e AS (SELECT o_orderkey AS event_id, o_custkey AS k, o_orderstatus AS s, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderdate END AS st FROM orders),
+a AS (SELECT k, s, count(*) AS n, min(id) AS id FROM c GROUP BY ALL), b AS (SELECT k, s, st, count(*) AS m, min(id) AS sid FROM c GROUP BY ALL),
+n AS (SELECT event_id, e.st, coalesce(n, 0) AS n, id, coalesce(m, 0) AS m, sid FROM e LEFT JOIN a USING (k, s) LEFT JOIN b ON b.k = e.k AND b.s = e.s AND b.st = e.st)
 SELECT event_id, CASE WHEN n = 0 THEN 'UNMATCHED' WHEN n = 1 OR m = 1 THEN 'MATCHED' ELSE 'AMBIGUOUS' END AS status,
   CASE WHEN n = 0 THEN 'no_date_team_candidate' WHEN n = 1 THEN 'unique_date_team_candidate' WHEN st IS NULL THEN 'doubleheader_no_event_start_time' WHEN m = 1 THEN 'unique_start_time_match_among_candidates'
        WHEN m = 0 THEN 'doubleheader_no_start_time_match' ELSE 'doubleheader_multiple_start_time_matches' END AS reason, CASE WHEN n = 1 THEN id WHEN m = 1 THEN sid END AS id, n AS candidate_count FROM n""")
 def match_with_start(t: Tables) -> DataFrame:
     """Unique by key, else by exact start, else ambiguous with its reason."""
-    o = t.orders.select("o_orderkey", (F.col("o_custkey") % 50).alias("k"), F.col("o_orderstatus").alias("s"), F.col("o_orderdate").alias("st"))
+    o = t.orders.select("o_orderkey", F.col("o_custkey").alias("k"), F.col("o_orderstatus").alias("s"), F.col("o_orderdate").alias("st"))
     e = o.select(F.col("o_orderkey").alias("event_id"), "k", "s", F.when(F.col("o_orderkey") % 3 != 0, F.col("st")).alias("st"))
-    return matching.match_with_start(e, o.where("o_orderkey % 40 = 0").withColumnRenamed("o_orderkey", "id"), ["k", "s"], "st", "event_id", "id")
+    return matching.match_with_start(e, o.withColumnRenamed("o_orderkey", "id"), ["k", "s"], "st", "event_id", "id")
 
 
 @query("c04_word_subset", """WITH a AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS city FROM part), b AS (SELECT DISTINCT p_name FROM part)
@@ -79,12 +80,14 @@ def agreement(t: Tables) -> DataFrame:
     return t.orders.join(f, "o_orderkey").where("first < o_orderdate").select("o_orderkey")
 
 
-@query("c16_two_sided", """WITH c AS (SELECT c_custkey AS s_suppkey, c_acctbal AS s_acctbal FROM customer), g AS (SELECT DISTINCT p_partkey % 40 AS game, (p_partkey % 40) AS home, (p_partkey % 40) + 50 AS away FROM part)
+@query("c16_two_sided", """WITH c AS (SELECT c_custkey AS s_suppkey, c_acctbal AS s_acctbal FROM customer), g AS (SELECT DISTINCT c_custkey // 2 AS game, c_custkey // 2 * 2 AS home, c_custkey // 2 * 2 + 1 AS away FROM customer)
 SELECT game, round(h.s_acctbal, 4) AS home_acctbal, round(a.s_acctbal, 4) AS away_acctbal, round(h.s_acctbal - a.s_acctbal, 4) AS diff_acctbal FROM g JOIN c h ON h.s_suppkey = home JOIN c a ON a.s_suppkey = away""")
 def two_sided(t: Tables) -> DataFrame:
     """Home and away components of a game and their difference; games with neither are excluded."""
-    games = t.part.select((F.col("p_partkey") % 40).alias("game")).distinct().select("game", F.col("game").alias("home"), (F.col("game") + 50).alias("away"))
-    comp = t.customer.select(F.explode(F.array(F.col("c_custkey"), F.col("c_custkey") - 50)).alias("game"), F.col("c_custkey").alias("side"), F.col("c_acctbal").alias("acctbal"))
+    game = F.floor(F.col("c_custkey") / 2)
+    games = t.customer.select(game.alias("game")).distinct().select("game", (F.col("game") * 2).alias("home"), (F.col("game") * 2 + 1).alias("away"))
+    paired = t.customer.join(t.customer.select(F.col("c_custkey").bitwiseXOR(F.lit(1)).alias("c_custkey")), "c_custkey", "left_semi")  # a customer without a partner is in no game
+    comp = paired.select(game.alias("game"), F.col("c_custkey").alias("side"), F.col("c_acctbal").alias("acctbal"))
     rows, _ = matching.two_sided(comp, games, "game", "side", "home", "away", ["acctbal"])
     return rows.select("game", F.round("home_acctbal", 4).alias("home_acctbal"), F.round("away_acctbal", 4).alias("away_acctbal"), F.round(F.col("home_acctbal") - F.col("away_acctbal"), 4).alias("diff_acctbal"))
 

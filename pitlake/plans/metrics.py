@@ -43,12 +43,11 @@ def probability_metrics(t: Tables) -> DataFrame:
     return m.select("n", *(r6(F.col(c)).alias(c) for c in ("mean_p", "rate", "log_loss", "brier", "accuracy", "auc", "ece")))
 
 
-@query("d22_reliability_curve", f"WITH {P}, s AS (SELECT unnest(range(0, 10)) AS b) SELECT s.b::INT AS bin, count(p) AS n, round(avg(p), 6) AS mean_p, round(avg(y), 6) AS rate FROM s LEFT JOIN (SELECT b, p, y FROM xb WHERE b <> 4) q USING (b) GROUP BY s.b")
+@query("d22_reliability_curve", f"WITH {P}, s AS (SELECT unnest(range(0, 10)) AS b) SELECT s.b::INT AS bin, count(p) AS n, round(avg(p), 6) AS mean_p, round(avg(y), 6) AS rate FROM s LEFT JOIN xb USING (b) GROUP BY s.b")
 def reliability_curve(t: Tables) -> DataFrame:
     """Bins including empty ones."""
-    p = predictions(t).withColumn("bin", metrics.bin_of(F.col("p"))).where("bin <> 4").groupBy("bin").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("p")).alias("mean_p"), r6(F.avg("y")).alias("rate"))
-    frame = t.spark.range(10).select(F.col("id").cast("int").alias("bin"))
-    return F.broadcast(frame).join(p, "bin", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    c = metrics.reliability_curve(predictions(t), "y", "p")
+    return c.select("bin", "n", r6(F.col("mean_p")).alias("mean_p"), r6(F.col("rate")).alias("rate"))
 
 
 #: fixed values: (label, from, below)

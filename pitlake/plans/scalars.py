@@ -257,10 +257,10 @@ def names(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", text.normal_name(F.concat(F.lit(" "), "c_name", F.lit(" "))).alias("v1"), text.plain_name(F.concat("c_name", F.lit(".  X.Y"))).alias("v3"))
 
 
-@query("b11_folded_names", """SELECT doc_id, trim(regexp_replace(replace(lower(strip_accents(replace(substr(text, 1, 60), 'ß', 'ss'))), '.', ''), '\\s+', ' ', 'g')) AS folded FROM documents""")
+@query("b11_folded_names", """SELECT doc_id, trim(regexp_replace(replace(lower(strip_accents(replace(text, 'ß', 'ss'))), '.', ''), '\\s+', ' ', 'g')) AS folded FROM documents""")
 def folded_names(t: Tables) -> DataFrame:
     """Accents and dots dropped, case folded."""
-    return t.documents.select("doc_id", text.folded_name(F.substring("text", 1, 60)).alias("folded"))
+    return t.documents.select("doc_id", text.folded_name(F.col("text")).alias("folded"))
 
 
 @query("b13_b15_instants", """SELECT event_id, floor(epoch(ts))::BIGINT AS seconds, CASE WHEN event_id % 5 = 0 THEN NULL ELSE epoch(date_trunc('second', ts))::BIGINT END AS parsed FROM events""")

@@ -10,7 +10,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 
 class KeyConflict(ValueError):
@@ -18,11 +17,11 @@ class KeyConflict(ValueError):
 
 
 def read_store(spark: SparkSession, path: str, schema) -> DataFrame:
-    """The store, empty where it doesn't exist yet."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
+    """The store, empty where its folder doesn't exist yet; anything else that can't be read raises."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
         return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
 
 
 def content(df: DataFrame, key: Sequence[str]):
