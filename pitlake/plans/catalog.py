@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pitlake.plans import feeds, history, joins, metrics, scalars
+from pitlake.plans import feeds, history, joins, league, metrics, scalars
 from pitlake.plans.base import ORACLES, QUERIES
 
-MODULES = [scalars, history, joins, metrics, feeds]
+MODULES = [scalars, history, joins, metrics, feeds, league]
 
 __all__ = ["MODULES", "ORACLES", "QUERIES"]
