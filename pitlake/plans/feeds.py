@@ -38,7 +38,7 @@ def schedule_payloads(t: Tables) -> DataFrame:
 
 @query("a06_schedule_flatten", "SELECT o_orderkey AS game_pk, o_orderstatus AS state, o_custkey % 7 AS home_team_id, o_custkey % 5 AS away_team_id, (o_orderkey % 7)::INT AS home_score, o_custkey % 7 <> o_custkey % 5 AND o_orderkey > 0 AS valid FROM orders")
 def schedule_flatten(t: Tables) -> DataFrame:
-    """Nested schedule to rows, with per-record validity."""
+    """Nested schedule to rows, with per-record validity."""
     return feeds.schedule_games(schedule_payloads(t)).select("game_pk", "state", "home_team_id", "away_team_id", "home_score", "valid")
 
 
@@ -54,7 +54,7 @@ def odds_payloads(t: Tables) -> DataFrame:
 
 @query("a17_market_outcomes", "SELECT o_orderkey AS event_id, book AS bookmaker, CASE WHEN o_orderkey % 11 = 0 THEN false ELSE true END AS ok FROM orders, (SELECT unnest(['one', 'two']) AS book)")
 def market_outcomes(t: Tables) -> DataFrame:
-    """Event - bookmaker - market - outcome flatten and cardinality of each market."""
+    """Event - bookmaker - market - outcome flatten and cardinality of each market."""
     out = feeds.market_outcomes(odds_payloads(t), "h2h")
     return feeds.complete_markets(out, ("home", "away")).select(F.col("event_id").cast("long").alias("event_id"), "bookmaker", "ok")
 
@@ -69,7 +69,7 @@ def quotes(t: Tables) -> DataFrame:
 
 @query("a24_archive_lines", "SELECT o_orderdate::DATE::VARCHAR AS archive_date, count(*) AS lines, count(*) FILTER (o_orderkey % 10 = 0) AS unpriced FROM orders GROUP BY 1")
 def archive_lines(t: Tables) -> DataFrame:
-    """Dated map of games to one row per line, price 0 is none."""
+    """Dated map of games to one row per line, price 0 is none."""
     team = lambda n: F.struct(F.lit(n).alias("fullName"))
     odds_ = F.struct((F.col("o_orderkey") % 10 * 30).cast("int").alias("homeOdds"), F.lit(-120).alias("awayOdds"))
     line = F.struct(F.lit("book").alias("sportsbook"), odds_.alias("openingLine"), odds_.alias("currentLine"))
@@ -81,7 +81,7 @@ def archive_lines(t: Tables) -> DataFrame:
 
 @query("a27_append_store", "SELECT 'first' AS run, count(*) AS appended, 0::BIGINT AS skipped FROM events WHERE event_id % 2 = 0 UNION ALL SELECT 'second', count(*) FILTER (event_id % 2 = 1), count(*) FILTER (event_id % 2 = 0) FROM events")
 def append_store(t: Tables) -> DataFrame:
-    """Idempotent append by key."""
+    """Idempotent append by key."""
     path, cols = shared_folder(t, "store"), ["event_id", "user_id", "value"]
     one = stores.append_new(t.events.where("event_id % 2 = 0").select(*cols), path, ["event_id"])
     two = stores.append_new(t.events.select(*cols), path, ["event_id"])
@@ -113,7 +113,7 @@ def delete_keys(t: Tables) -> DataFrame:
 
 @query("a13_payload_hash", "SELECT event_id, sha256(props) AS sha, sha256(props) = sha256(props || CASE WHEN event_id % 50 = 0 THEN ' ' ELSE '' END) AS ok FROM events")
 def payload_hash(t: Tables) -> DataFrame:
-    """Payload hashes against published ones."""
+    """Payload hashes against published ones."""
     raw = t.events.select(F.col("event_id").alias("path"), F.concat("props", F.when(F.col("event_id") % 50 == 0, " ").otherwise("")).alias("content"))
     shas = t.events.select(F.col("event_id").alias("path"), F.sha2("props", 256).alias("sha256"))
     return stores.verified(raw, shas).join(shas, "path").select(F.col("path").alias("event_id"), F.col("sha256").alias("sha"), "ok")
@@ -121,7 +121,7 @@ def payload_hash(t: Tables) -> DataFrame:
 
 @query("a26_json_lines", "SELECT event_id, value FROM events WHERE event_id % 10 <> 0")
 def json_lines(t: Tables) -> DataFrame:
-    """JSON lines written and read by schema, lines that aren't objects dropped."""
+    """JSON lines written and read by schema, lines that aren't objects dropped."""
     path = shared_folder(t, "lines")
     t.events.select(F.when(F.col("event_id") % 10 == 0, F.lit("[1]x")).otherwise(F.to_json(F.struct("event_id", "value")))).write.text(path)
     return t.spark.read.schema("event_id long, value double").option("mode", "DROPMALFORMED").json(path).where("event_id IS NOT NULL")
@@ -137,7 +137,7 @@ def status_view(t: Tables) -> DataFrame:
 
 @query("a41_batches", "SELECT o_orderkey, (row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1) // 500 AS batch FROM orders WHERE o_orderkey % 3 <> 0")
 def batches(t: Tables) -> DataFrame:
-    """What is left to fetch, in batches of fixed size."""
+    """What is left to fetch, in batches of fixed size."""
     from pyspark.sql import Window as W
 
     left = t.orders.join(t.orders.where("o_orderkey % 3 = 0").select("o_orderkey"), "o_orderkey", "left_anti")
@@ -173,7 +173,7 @@ def walk_forward(t: Tables) -> DataFrame:
 
 @query("j16_calibration")
 def calibration(t: Tables) -> DataFrame:
-    """Sigmoid and isotonic calibration on the same split."""
+    """Sigmoid and isotonic calibration on the same split."""
     m = matrix(t)
     *train, before, last = sorted(r[0] for r in m.where("season IS NOT NULL").select("season").distinct().collect())
     folds = [(tuple(train), before), (tuple(train), last)]
@@ -197,7 +197,7 @@ def simulation(t: Tables) -> DataFrame:
 
 @query("j06_folds", "SELECT * FROM (VALUES ('expanding', '1992', 1993), ('expanding', '1992,1993', 1994), ('expanding', '1992,1993,1994', 1995), ('rolling 1', '1993', 1994), ('rolling 1', '1994', 1995), ('rolling 2', '1992,1993', 1994), ('rolling 2', '1993,1994', 1995)) v(kind, train, test)")
 def folds(t: Tables) -> DataFrame:
-    """Chronological folds."""
+    """Chronological folds."""
     s = [1992, 1993, 1994, 1995]
     rows = [("expanding", *f) for f in modelling.expanding_folds(s)] + [(f"rolling {h}", *f) for h in (1, 2) for f in modelling.rolling_folds(s, h, 2)]
     return t.spark.createDataFrame([(k, ",".join(map(str, a)), b) for k, a, b in rows], "kind string, train string, test int")
@@ -212,7 +212,7 @@ def trial_summary(t: Tables) -> DataFrame:
 
 @query("k01_stream_capture", "SELECT count(*) AS stored FROM events WHERE event_type = 'purchase'")
 def stream_capture(t: Tables) -> DataFrame:
-    """A file stream captured by key; run twice, stored once."""
+    """A file stream captured by key; run twice, stored once."""
     source, path = shared_folder(t, "in"), shared_folder(t, "captured")
     rows = t.events.where("event_type = 'purchase'").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "value")
     rows.write.parquet(source)
@@ -227,7 +227,7 @@ def stream_capture(t: Tables) -> DataFrame:
 l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY snapshot DESC) AS rn FROM q)
 SELECT user_id, home, away, CASE WHEN home IS NULL OR away IS NULL THEN 'one_side_missing' WHEN NOT (snapshot < predicted AND predicted < TIMESTAMP '2024-01-30 00:00:00') THEN 'not_pregame' END AS reason FROM l WHERE rn = 1""")
 def capture_records(t: Tables) -> DataFrame:
-    """Latest pair per game with a reason where there is none."""
+    """Latest pair per game with a reason where there is none."""
     q = t.events.select("user_id", F.when(F.col("event_type") == "click", "home").when(F.col("event_type") == "purchase", "away").alias("side"), "value", F.to_date("ts").cast("timestamp_ntz").alias("snapshot"), F.col("ts").alias("predicted"), F.lit("2024-01-30 00:00:00").cast("timestamp_ntz").alias("start"))
     return capture.capture_records(q, "user_id", "side", "value", "snapshot", "predicted", "start").select("user_id", "home", "away", "reason")
 
@@ -235,7 +235,7 @@ def capture_records(t: Tables) -> DataFrame:
 @query("k06_board", """WITH v AS (SELECT event_id, user_id, value, ts FROM events WHERE value IS NOT NULL AND props IS NOT NULL), l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM v),
 r AS (SELECT user_id, count(*) AS results FROM events WHERE event_type = 'purchase' GROUP BY 1) SELECT l.user_id, event_id, coalesce(results, 0) AS results FROM l LEFT JOIN r ON r.user_id = l.user_id WHERE rn = 1""")
 def board(t: Tables) -> DataFrame:
-    """Valid records, latest per key, results attached."""
+    """Valid records, latest per key, results attached."""
     v = t.events.where("value IS NOT NULL AND props IS NOT NULL").groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
     r = t.events.where("event_type = 'purchase'").groupBy("user_id").agg(F.count(F.lit(1)).alias("results"))
     return v.join(r, "user_id", "left").withColumn("results", F.coalesce("results", F.lit(0)))

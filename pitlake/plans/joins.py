@@ -47,7 +47,7 @@ m AS (SELECT a.event_id, click_id, abs(epoch(a.ts) - epoch(b.ts)) AS gap FROM a
 r AS (SELECT event_id, min(gap) AS gap FROM m GROUP BY 1), n AS (SELECT event_id, gap, count(*) AS n, min(click_id) AS id FROM m JOIN r USING (event_id, gap) GROUP BY ALL)
 SELECT a.event_id, CASE WHEN n IS NULL THEN 'unmatched' WHEN n = 1 THEN 'matched' ELSE 'ambiguous' END AS status, CASE WHEN n = 1 THEN id END AS click_id, gap::DOUBLE AS gap_seconds FROM a LEFT JOIN n USING (event_id)""")
 def nearest_in_time(t: Tables) -> DataFrame:
-    """Nearest row of the same key within 12 hours, equal distance ambiguous."""
+    """Nearest row of the same key within 12 hours, equal distance ambiguous."""
     e = t.events.withColumn("ts", F.date_trunc("minute", "ts"))
     return matching.nearest_in_time(e.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), e.where("event_type = 'click'").select(F.col("event_id").alias("click_id"), "user_id", "ts"), ["user_id"], "ts", "ts", "event_id", "click_id", 43200)
 
@@ -104,7 +104,7 @@ def resolve_identity(t: Tables) -> DataFrame:
 @query("c18_resolved", """WITH j AS (SELECT user_id, max(event_id) AS event_id FROM events WHERE event_type = 'purchase' GROUP BY 1), p AS (SELECT user_id, max(event_id) AS event_id FROM events GROUP BY 1)
 SELECT p.user_id, p.event_id, j.event_id AS result_id FROM p JOIN j USING (user_id)""")
 def resolved(t: Tables) -> DataFrame:
-    """Latest row ⋈ latest journal row; unresolved dropped."""
+    """Latest row ⋈ latest journal row; unresolved dropped."""
     p = t.events.groupBy("user_id").agg(F.max("event_id").alias("event_id"))
     j = t.events.where("event_type = 'purchase'").groupBy("user_id").agg(F.max("event_id").alias("result_id"))
     return p.join(j, "user_id")
@@ -120,7 +120,7 @@ def attach_results(t: Tables) -> DataFrame:
 
 @query("c23_completed_results", "SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) = 2 AND bool_and(l_linestatus = 'F')")
 def completed_results(t: Tables) -> DataFrame:
-    """Groups of exactly two complete rows."""
+    """Groups of exactly two complete rows."""
     return t.lineitem.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("l_linestatus") == "F").alias("ok")).where("n = 2 AND ok").select("l_orderkey")
 
 

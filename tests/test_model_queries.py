@@ -70,6 +70,44 @@ def test_calibration(spark, fixture):
         assert r.n == len(held) and r.raw == pytest.approx(raw, abs=2e-4)
 
 
+def figures(y, p):
+    q = np.clip(p, 1e-15, 1 - 1e-15)
+    return -(y * np.log(q) + (1 - y) * np.log(1 - q)).mean(), ((p - y) ** 2).mean()
+
+
+def test_rolling(spark, fixture):
+    path, m = fixture
+    got = {r.window: r for r in catalog.QUERIES["j14_rolling"](spark, path).collect()}
+    for window, back in (("expanding", 9), ("rolling_2", 2), ("rolling_3", 3)):
+        held = {s: m[m.season == s] for s in (1995, 1996)}
+        p = np.concatenate([logistic(m[(m.season < s) & (m.season >= s - back)], held[s]) for s in held])
+        loss, brier = figures(pd.concat(held.values()).label.to_numpy(), p)
+        assert got[window].n == len(p) and got[window].brier == pytest.approx(brier, abs=2e-4) and got[window].log_loss == pytest.approx(loss, abs=2e-3)
+
+
+def test_ablation(spark, fixture, monkeypatch):
+    path, m = fixture
+    got = {r.variant: r for r in catalog.QUERIES["j15_ablation"](spark, path).collect()}
+    assert set(got) == {"all", "leave_one_out:price", "leave_one_out:lines", "incremental:price"}
+    held = {s: m[m.season == s] for s in (1993, 1994, 1995)}
+    y = pd.concat(held.values()).label.to_numpy()
+    assert got["all"].brier == pytest.approx(figures(y, np.concatenate([logistic(m[m.season < s], held[s]) for s in held]))[1], abs=2e-4)
+    assert got["all"].n == len(y) and got["leave_one_out:price"].brier > got["all"].brier + 0.05
+    assert got["leave_one_out:lines"].brier == got["incremental:price"].brier
+
+
+def test_holdout_and_predictions(spark, fixture):
+    path, m = fixture
+    held = m[m.season == 1996]
+    p = logistic(m[m.season < 1996], held)
+    one = catalog.QUERIES["j21_holdout"](spark, path).collect()[0]
+    assert one.n == len(held) and one.brier == pytest.approx(figures(held.label.to_numpy(), p)[1], abs=2e-4)
+    rows = {r.o_orderkey: r for r in catalog.QUERIES["j32_predictions"](spark, path).collect()}
+    assert len(rows) == len(m) and all((r.p is None) == (r.reason == "no_earlier_season") for r in rows.values())
+    assert np.abs(np.array([rows[k].p for k in held.o_orderkey]) - p).max() < 5e-3
+    assert {k for k, r in rows.items() if r.reason == "no_earlier_season"} == set(m[m.season == 1992].o_orderkey)
+
+
 def test_simulation(spark, fixture):
     path, m = fixture
     got = {r.game_pk: r for r in catalog.QUERIES["j22_simulation"](spark, path).collect()}
