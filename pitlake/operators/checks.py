@@ -9,12 +9,14 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pitlake.operators.quality import SAMPLE, column_stats, column_status, content_hash
+from pitlake.sources.layers import fingerprint
 
 
 @dataclass(frozen=True)
@@ -47,6 +49,35 @@ def all_of(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def run_all(groups: Sequence[tuple[str, DataFrame]]) -> DataFrame:
+    """(pos, group, check, status) of several groups of checks, the groups in order."""
+    return all_of([df.select(F.lit(i).alias("pos"), F.lit(name).alias("group"), "check", "status") for i, (name, df) in enumerate(groups)])
+
+
+def folds(spark: SparkSession, some: Sequence[tuple[tuple[int, ...], int]], development: Sequence[int], holdout: int, check: str = "leakage.chronological_folds") -> DataFrame:
+    """(check, status, failing_count, failing): folds must train on earlier seasons alone, and the holdout must be in none of them."""
+    bad = [f"{holdout}|holdout_in_development"] if holdout in development else []
+    for train, test in some:
+        rules = {"train_test_overlap": test in train, "not_chronological": bool(train) and max(train) >= test, "holdout_in_fold": holdout == test or holdout in train}
+        bad += [f"{test}|{name}" for name, broken in rules.items() if broken]
+    return spark.createDataFrame([(check, "FAIL" if bad else "PASS", len(bad), bad[:SAMPLE])], "check string, status string, failing_count long, failing array<string>")
+
+
+def certify(tables: Mapping[str, DataFrame], results: DataFrame, code_version: str, certified_at: str) -> dict[str, Any]:
+    """An artifact that names the content of the tables and what the checks (check, status) found.
+
+    Only a row a table and a row a check reach the driver; the fingerprint leaves out the time.
+    """
+    held = {n: df.transform(content_hash, df.columns).collect()[0] for n, df in tables.items()}
+    rows = [{"check": r["check"], "status": r["status"]} for r in results.select("check", "status").orderBy("check").collect()]
+    by = {s: [r["check"] for r in rows if r["status"] == s] for s in ("PASS", "WARN", "FAIL")}
+    artifact = {
+        "status": "FAIL" if by["FAIL"] else "PASS", "dataset": {n: {"rows": r["rows"], "sha256": r["hash"]} for n, r in held.items()}, "checks": rows,
+        "summary": {s.lower(): len(c) for s, c in by.items()}, "failures": by["FAIL"], "warnings": by["WARN"], "code_version": code_version, "certified_at": certified_at,
+    }
+    return artifact | {"fingerprint": fingerprint(artifact)}
+
+
 #: fixed values: detailed states that begin like this mean that no result was reached
 NOT_PLAYED = ["postponed", "suspended", "cancelled", "rescheduled"]
 #: fixed values: abstract states of a game

@@ -70,6 +70,11 @@ def slice_metrics(df: DataFrame, y: str, p: str, by: Sequence[str], low: int = 3
     return joined.withColumn("low_confidence", F.col("n") < low)
 
 
+def slice_by(df: DataFrame, label: Column, y: str, p: str, low: int = 30) -> DataFrame:
+    """`slice_metrics` by any expression over the rows; rows that it gives no label are left out."""
+    return slice_metrics(df.select(label.cast("string").alias("slice"), y, p).where(F.col("slice").isNotNull()), y, p, ["slice"], low)
+
+
 def buckets(df: DataFrame, x: Column, specs: Sequence[tuple[str, float, float | None]], aggregates: dict[str, Column]) -> DataFrame:
     """One row per bucket of specs (label, from, below), empty ones too, with n and the aggregates."""
     from pitlake.functions.text import bucket

@@ -1,4 +1,4 @@
-"""Walk-forward evaluation, calibration and simulation."""
+"""Walk-forward evaluation, locked models and simulation."""
 
 from __future__ import annotations
 
@@ -10,11 +10,10 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GeneralizedLinearRegression, IsotonicRegression
+from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitlake.functions.odds import safe_logit
 from pitlake.operators import metrics
 
 
@@ -51,48 +50,65 @@ def pipeline(kind: str, features: Sequence[str], seed: int = 0) -> Pipeline:
     return Pipeline(stages=stages)
 
 
-def walk_forward(df: DataFrame, features: Sequence[str], folds: Sequence[tuple[tuple[int, ...], int]], build: Callable[[], Pipeline], season: str = "season", label: str = "label") -> DataFrame:
-    """Predictions (the rows, fold, p) of each test season by a model of its training seasons; unlabelled rows are left out.
+def builder(model) -> Callable[[], Pipeline]:
+    """The function that builds a model: a module (or object) with `build_model`, or the function itself."""
+    found = getattr(model, "build_model", model)
+    if not callable(found):
+        raise TypeError(f"{model!r} neither is nor has a function that builds a model")
+    return found
+
+
+def fitted(model):
+    """A fitted model: the one given, or what a function without arguments loads."""
+    return model if hasattr(model, "transform") else model()
+
+
+def score(train: DataFrame, held: DataFrame, build: Callable[[], Pipeline], label: str = "label") -> DataFrame:
+    """The held rows with p, by a model of the training rows; a training set of one class predicts that class."""
+    rates = train.agg(F.min(label).alias("lo"), F.max(label).alias("hi")).collect()[0]
+    if rates["lo"] == rates["hi"]:
+        p = held.withColumn("p", F.lit(None if rates["lo"] is None else float(rates["lo"])).cast("double"))
+    else:
+        p = build().fit(train).transform(held).withColumn("p", vector_to_array("probability")[1])
+    return p.select(*held.columns, "p")
+
 
-    A training set of one class predicts that class.
-    """
+def walk_forward(df: DataFrame, features: Sequence[str], folds: Sequence[tuple[tuple[int, ...], int]], build: Callable[[], Pipeline], season: str = "season", label: str = "label") -> DataFrame:
+    """Predictions (the rows, fold, p) of each test season by a model of its training seasons; unlabelled rows are left out."""
     check_folds(folds)
     out = None
     known = df.where(F.col(label).isNotNull())
     for train, test in folds:
-        fit, held = known.where(F.col(season).isin(*train)), known.where(F.col(season) == test)
-        rates = fit.agg(F.min(label).alias("lo"), F.max(label).alias("hi")).collect()[0]
-        if rates["lo"] == rates["hi"]:
-            p = held.withColumn("p", F.lit(None if rates["lo"] is None else float(rates["lo"])).cast("double"))
-        else:
-            p = build().fit(fit).transform(held).withColumn("p", vector_to_array("probability")[1])
-        p = p.select(*df.columns, F.lit(test).alias("fold"), "p")
+        p = score(known.where(F.col(season).isin(*train)), known.where(F.col(season) == test), builder(build), label).select(*df.columns, F.lit(test).alias("fold"), "p")
         out = p if out is None else out.unionByName(p)
     return out
 
 
-def fit_calibrator(predictions: DataFrame, method: str, label: str = "label"):
-    """A function from predictions to predictions with `calibrated`: sigmoid on the logit, or isotonic."""
-    logit = VectorAssembler(inputCols=["_z"], outputCol="_v")
-    if method == "sigmoid":
-        model = LogisticRegression(featuresCol="_v", labelCol=label, probabilityCol="_cp", rawPredictionCol="_cr", predictionCol="_cl").fit(logit.transform(predictions.withColumn("_z", safe_logit(F.col("p")))))
-        return lambda df: model.transform(logit.transform(df.withColumn("_z", safe_logit(F.col("p"))))).withColumn("calibrated", vector_to_array("_cp")[1]).drop("_z", "_v", "_cp", "_cr", "_cl")
-    model = IsotonicRegression(featuresCol="p", labelCol=label, predictionCol="_c").fit(predictions)
-    return lambda df: model.transform(df).withColumn("calibrated", F.least(F.greatest("_c", F.lit(0.0)), F.lit(1.0))).drop("_c")
+def lock(df: DataFrame, seasons: Sequence[int], build: Callable[[], Pipeline], path: str, season: str = "season", label: str = "label") -> int:
+    """Fit on the labelled rows of the seasons, save the model and give the number of rows; `PipelineModel.load` reads it back."""
+    train = df.where(F.col(season).isin(*seasons) & F.col(label).isNotNull())
+    n = train.count()
+    if not n:
+        raise ValueError(f"no labelled rows in {list(seasons)}")
+    builder(build)().fit(train).write().overwrite().save(path)
+    return n
+
 
+def run_rate_pipeline(features: Sequence[str], label: str) -> Pipeline:
+    filled = [f"{c}_filled" for c in features]
+    glr = GeneralizedLinearRegression(family="poisson", link="log", regParam=1.0, labelCol=label, featuresCol="features", predictionCol="rate")
+    return Pipeline(stages=[Imputer(inputCols=list(features), outputCols=filled), VectorAssembler(inputCols=filled, outputCol="features"), glr])
 
-def recommendation(raw: tuple[float, float], sigmoid: tuple[float, float], isotonic: tuple[float, float]) -> str:
-    """Which calibration to use from (log loss, ece) of each: one that improves both, the better log loss first."""
-    better = [(x[0], name) for x, name in ((sigmoid, "USE PLATT"), (isotonic, "USE ISOTONIC")) if x[0] < raw[0] and x[1] < raw[1]]
-    return min(better)[1] if better else "KEEP RAW"
+
+def run_rates(model, df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """The rows with their expected rate, floored."""
+    return fitted(model).transform(df).withColumn("rate", F.greatest("rate", F.lit(0.05))).drop("features", *(f"{c}_filled" for c in features))
 
 
 def fit_run_rates(df: DataFrame, features: Sequence[str], label: str):
     """Poisson regression with imputed features; rates are floored."""
-    filled = [f"{c}_filled" for c in features]
-    glr = GeneralizedLinearRegression(family="poisson", link="log", regParam=1.0, labelCol=label, featuresCol="features", predictionCol="rate")
-    model = Pipeline(stages=[Imputer(inputCols=list(features), outputCols=filled), VectorAssembler(inputCols=filled, outputCol="features"), glr]).fit(df.where(F.col(label).isNotNull()))
-    return lambda x: model.transform(x).withColumn("rate", F.greatest("rate", F.lit(0.05))).drop("features", *filled)
+    model = run_rate_pipeline(features, label).fit(df.where(F.col(label).isNotNull()))
+    return lambda x: run_rates(model, x, features)
 
 
 def simulate(games: DataFrame, trials: int, seed: int = 0) -> DataFrame:

@@ -5,9 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pitlake.operators import calibration as calibrators
 from pitlake.operators import metrics, modelling
 from pitlake.plans.base import Tables, query
 from pitlake.sources import feeds, stores
@@ -180,12 +183,50 @@ def calibration(t: Tables) -> DataFrame:
     p = stored(t, modelling.walk_forward(m, ["price", "q", "d"], folds, lambda: modelling.pipeline("logistic", ["price", "q", "d"])), "predictions")
     out = None
     for method in ("sigmoid", "isotonic"):
-        c = modelling.fit_calibrator(p.where(F.col("fold") == before), method)(p.where(F.col("fold") == last))
+        c = calibrators.fit(p.where(F.col("fold") == before), method)(p.where(F.col("fold") == last))
         row = c.agg(F.lit(method).alias("method"), F.count(F.lit(1)).alias("n"), F.round(metrics.brier(F.col("label"), F.col("p")), 4).alias("raw"), F.round(metrics.brier(F.col("label"), F.col("calibrated")), 4).alias("calibrated"))
         out = row if out is None else out.unionByName(row)
     return out
 
 
+@query("j18_refit_calibration")
+def refit_calibration(t: Tables) -> DataFrame:
+    """Raw, sigmoid and isotonic variants of one refitted model over all expanding folds before the last season, with what they recommend."""
+    m = matrix(t).where("season IS NOT NULL").join(t.orders.select("o_orderkey", F.to_date("o_orderdate").alias("day")), "o_orderkey")
+    *seasons, _ = sorted(r[0] for r in m.select("season").distinct().collect())
+    p, _ = calibrators.refit_variants(m, modelling.expanding_folds(seasons), lambda: modelling.pipeline("logistic", ["price", "q", "d"]), lambda df, name: stored(t, df, name), "day", "o_orderkey")
+    x = calibrators.compare(p, "o_orderkey")
+    advice = calibrators.recommend(x.collect())  # a row for each variant and fold
+    return x.select("variant", "fold", "n", *(F.round(c, 4).alias(c) for c in ("log_loss", "brier", "ece", "lowest", "highest")), F.lit(advice).alias("recommendation"))
+
+
+@query("m16_saved_calibrators")
+def saved_calibrators(t: Tables) -> DataFrame:
+    """Calibrators of one season saved, read back and applied to the next."""
+    m = matrix(t)
+    *train, before, last = sorted(r[0] for r in m.where("season IS NOT NULL").select("season").distinct().collect())
+    p = stored(t, modelling.walk_forward(m, ["price", "q", "d"], [(tuple(train), before), (tuple(train), last)], lambda: modelling.pipeline("logistic", ["price", "q", "d"])), "predictions")
+    path, out = shared_folder(t, "calibrators"), p.where(F.col("fold") == last).select("o_orderkey", "p")
+    for method in calibrators.METHODS:
+        calibrators.fit(p.where(F.col("fold") == before), method).save(path)
+        out = calibrators.load(path, method)(out).withColumnRenamed("calibrated", method)
+    return out.select("o_orderkey", *(F.round(c, 4).alias(c) for c in ("p", *calibrators.METHODS)))
+
+
+@query("m17_locked_models")
+def locked_models(t: Tables) -> DataFrame:
+    """A locked classifier and a locked score model, saved, loaded and applied to the season after."""
+    m = matrix(t).withColumn("runs", (F.col("q") % 9).cast("double"))
+    *train, last = sorted(r[0] for r in m.where("season IS NOT NULL").select("season").distinct().collect())
+    path, features = shared_folder(t, "locked"), ["price", "q", "d"]
+    modelling.lock(m, train, lambda: modelling.pipeline("logistic", features), f"{path}/label")
+    modelling.lock(m, train, lambda: modelling.run_rate_pipeline(["price", "d"], "runs"), f"{path}/runs", label="runs")
+    held = m.where(F.col("season") == last)
+    p = modelling.fitted(lambda: PipelineModel.load(f"{path}/label")).transform(held).select("o_orderkey", F.round(vector_to_array("probability")[1], 4).alias("p"))
+    rate = modelling.run_rates(lambda: PipelineModel.load(f"{path}/runs"), held, ["price", "d"]).select("o_orderkey", F.round("rate", 4).alias("rate"))
+    return p.join(rate, "o_orderkey")
+
+
 @query("j22_simulation")
 def simulation(t: Tables) -> DataFrame:
     """Poisson rates and seeded trials per game."""

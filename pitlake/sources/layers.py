@@ -6,11 +6,12 @@ import datetime as dt
 import hashlib
 import json
 import time
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from pathlib import PurePosixPath
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pitlake.sources import stores
@@ -56,6 +57,11 @@ def canonical_json(value: Any) -> bytes:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()
 
 
+def canonical_column(columns: Sequence[str]) -> Column:
+    """The same form for rows of flat columns, made without Python: sorted keys, nulls kept."""
+    return F.to_json(F.struct(*(F.col(c) for c in sorted(columns))), {"ignoreNullFields": "false"})
+
+
 def fingerprint(artifact: Mapping[str, Any], leave_out: tuple[str, ...] = ("certified_at",)) -> str:
     """The first 16 hex digits of the SHA-256 of an artifact without its time."""
     return hashlib.sha256(canonical_json({k: v for k, v in artifact.items() if k not in leave_out})).hexdigest()[:16]

@@ -75,6 +75,76 @@ def figures(y, p):
     return -(y * np.log(q) + (1 - y) * np.log(1 - q)).mean(), ((p - y) ** 2).mean()
 
 
+def plain_sigmoid(p, y):
+    """Logistic regression on the logit, by Newton's method."""
+    z = lambda v: np.column_stack([np.ones(len(v)), np.log(np.clip(v, 1e-12, 1 - 1e-12) / (1 - np.clip(v, 1e-12, 1 - 1e-12)))])
+    x, w = z(p), np.array([0.0, 0.5])
+    for _ in range(100):
+        q = 1 / (1 + np.exp(-x @ w))
+        w += np.linalg.solve(x.T @ (x * (q * (1 - q))[:, None]) + 1e-9 * np.eye(2), x.T @ (y - q))
+    return lambda v: 1 / (1 + np.exp(-z(v) @ w))
+
+
+def plain_isotonic(p, y):
+    """Pools of neighbours until their means rise, and lines between the ends of pools."""
+    order = np.argsort(p)
+    pools = []
+    for v, t in zip(p[order], y[order]):
+        pools.append([t, 1, v, v])
+        while len(pools) > 1 and pools[-2][0] / pools[-2][1] >= pools[-1][0] / pools[-1][1]:
+            s, n, _, hi = pools.pop()
+            pools[-1] = [pools[-1][0] + s, pools[-1][1] + n, pools[-1][2], hi]
+    xs, ys = zip(*((x, s / n) for s, n, lo, hi in pools for x in dict.fromkeys((lo, hi))))
+    return lambda v: np.interp(v, xs, ys)
+
+
+def test_refit_calibration(spark, fixture):
+    path, m = fixture
+    got = {(r.variant, r.fold): r for r in catalog.QUERIES["j18_refit_calibration"](spark, path).collect()}
+    seasons = [1993, 1994, 1995]
+    want = {}
+    for s in seasons:
+        # every row counts in the split: the fixture labels all orders, also those without lines
+        fit, held = (x.sort_values(["o_orderdate", "o_orderkey"]) for x in (m[m.season < s], m[m.season == s]))
+        cut = len(fit) - round(0.2 * len(fit))
+        inner, raw, y = logistic(fit[:cut], fit[cut:]), logistic(fit, held), fit[cut:].label.to_numpy()
+        for name, p in (("raw", raw), ("sigmoid", plain_sigmoid(inner, y)(raw)), ("isotonic", plain_isotonic(inner, y)(raw))):
+            want[name, s] = p, held.label.to_numpy()
+    for name in ("raw", "sigmoid", "isotonic"):
+        want[name, -1] = tuple(np.concatenate([want[name, s][i] for s in seasons]) for i in (0, 1))
+    assert set(got) == set(want)
+    for k, (p, y) in want.items():
+        loss, brier = figures(y, p)
+        assert got[k].n == len(y) and got[k].brier == pytest.approx(brier, abs=2e-3), k
+        if k[0] != "isotonic":  # a probability of 0 or 1 that moves a little moves the loss much
+            assert got[k].log_loss == pytest.approx(loss, abs=1e-2), k
+    assert len({r.recommendation for r in got.values()}) == 1
+
+
+def test_saved_calibrators(spark, fixture):
+    path, m = fixture
+    got = pd.DataFrame([r.asDict() for r in catalog.QUERIES["m16_saved_calibrators"](spark, path).collect()]).set_index("o_orderkey")
+    before, last = m[m.season == 1995], m[m.season == 1996]
+    train = m[m.season < 1995]
+    p, q = logistic(train, before), logistic(train, last)
+    y = before.label.to_numpy()
+    got = got.loc[last.o_orderkey]
+    assert len(got) == len(last) and np.abs(got.p - q).max() < 5e-3
+    assert np.abs(got.sigmoid - plain_sigmoid(p, y)(q)).max() < 2e-2
+    assert np.abs(got.isotonic - plain_isotonic(p, y)(q)).mean() < 2e-2
+
+
+def test_locked_models(spark, fixture):
+    path, m = fixture
+    got = pd.DataFrame([r.asDict() for r in catalog.QUERIES["m17_locked_models"](spark, path).collect()]).set_index("o_orderkey")
+    train, last = m[m.season < 1996], m[m.season == 1996]
+    got = got.loc[last.o_orderkey]
+    assert len(got) == len(last) and np.abs(got.p - logistic(train, last)).max() < 5e-3
+    fit = train[train.q.notna()]
+    y, rate = (fit.q % 9), got.rate
+    assert rate.between(0.05, 9).all() and abs(rate.mean() - y.mean()) < 0.2
+
+
 def test_rolling(spark, fixture):
     path, m = fixture
     got = {r.window: r for r in catalog.QUERIES["j14_rolling"](spark, path).collect()}

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pitlake.functions import odds, text
-from pitlake.operators import history, latest, matching, metrics, modelling, quality
+from pitlake.operators import calibration, checks, history, latest, matching, metrics, modelling, quality
 from pitlake.sources import stores
 
 D = dt.datetime
@@ -136,8 +136,54 @@ def test_folds():
     assert modelling.rolling_folds([1, 2, 3, 4], 1, 2) == [((2,), 3), ((3,), 4)]
     with pytest.raises(ValueError):
         modelling.check_folds([((2,), 2)])
-    assert modelling.recommendation((0.69, 0.02), (0.68, 0.01), (0.67, 0.03)) == "USE PLATT"
-    assert modelling.recommendation((0.69, 0.02), (0.70, 0.01), (0.70, 0.01)) == "KEEP RAW"
+
+
+def test_recommendation():
+    row = lambda v, f, *m: dict(zip(("variant", "fold", "log_loss", "brier", "ece"), (v, f, *m)))
+    raw = [row("raw", f, 0.69, 0.25, 0.02) for f in (-1, 1, 2, 3)]
+    good = lambda v, pooled, *folds: [row(v, -1, *pooled), *(row(v, f + 1, x, 0.25, 0.02) for f, x in enumerate(folds))]
+    worse = good("isotonic", (0.70, 0.26, 0.03), 0.70, 0.70, 0.70)
+    assert calibration.recommend(raw + good("sigmoid", (0.68, 0.24, 0.03), 0.68, 0.68, 0.70) + worse) == "USE PLATT"
+    assert calibration.recommend(raw + good("sigmoid", (0.68, 0.24, 0.01), 0.60, 0.70, 0.70) + worse) == "KEEP RAW"  # better in one fold of three
+    assert calibration.recommend(raw + good("sigmoid", (0.68, 0.26, 0.01), 0.60, 0.60, 0.60) + worse) == "KEEP RAW"
+    assert calibration.recommend(raw + good("sigmoid", (0.68, 0.24, 0.03), 0.68, 0.68, 0.68) + good("isotonic", (0.68, 0.23, 0.03), 0.68, 0.68, 0.68)) == "USE ISOTONIC"
+
+
+def test_split_later(spark):
+    rows = [(day, key) for key, day in enumerate([3, 1, 2, 2, 2, 2, 1, 3, 2, 2])]
+    df = spark.createDataFrame(rows, "day int, key int")
+    for share in (0.1, 0.2, 0.5, 0.8):
+        early, late = (sorted((r.day, r.key) for r in x.collect()) for x in calibration.split_later(df, "day", "key", share))
+        assert early + late == sorted(rows) and len(late) == round(10 * share)
+    for bad, share in ((df, 0.01), (df, 0.0), (df, 1.0), (df.limit(0), 0.5), (df.withColumn("day", F.nullif("day", F.lit(3))), 0.5)):
+        with pytest.raises(ValueError):
+            calibration.split_later(bad, "day", "key", share)
+
+
+def test_fold_check(spark):
+    found = lambda some, dev, held: checks.folds(spark, some, dev, held).collect()[0]
+    assert found([((1,), 2), ((1, 2), 3)], [1, 2, 3], 4).status == "PASS"
+    assert found([((3,), 2), ((2,), 2), ((4,), 5)], [4], 4).failing == ["4|holdout_in_development", "2|not_chronological", "2|train_test_overlap", "2|not_chronological", "5|holdout_in_fold"]
+
+
+def test_models_as_modules_and_loaders():
+    class Module:
+        build_model = staticmethod(lambda: "built")
+
+    assert modelling.builder(Module)() == "built" and modelling.builder(len) is len
+    with pytest.raises(TypeError):
+        modelling.builder("name")
+    loaded = type("Model", (), {"transform": None})()
+    assert modelling.fitted(loaded) is loaded and modelling.fitted(lambda: loaded) is loaded
+
+
+def test_certification_names_content(spark):
+    results = spark.createDataFrame([("a", "PASS"), ("b", "WARN")], "check string, status string")
+    made = lambda n, at, found=results: checks.certify({"t": spark.range(n)}, found, "v1", at)
+    one = made(3, "monday")
+    assert one["status"] == "PASS" and one["warnings"] == ["b"] and one["summary"] == {"pass": 1, "warn": 1, "fail": 0}
+    assert made(3, "tuesday")["fingerprint"] == one["fingerprint"] != made(4, "monday")["fingerprint"]
+    assert made(3, "monday", results.union(spark.createDataFrame([("c", "FAIL")], results.schema)))["failures"] == ["c"]
 
 
 def test_simulation_is_seeded(spark):
