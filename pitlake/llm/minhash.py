@@ -327,7 +327,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         sigs = signed.select("doc", "signature")
         blocks = mixed.join(sigs, "doc").groupBy("band", "block").agg(F.collect_list("doc").alias("docs"), F.collect_list("signature").alias("signatures"))
         second = blocks.select("band", "docs", "signatures").mapInArrow(_medoids, "band long, doc long, score double").groupBy("band").agg(F.max_by("doc", F.struct("score", -F.col("doc"))).alias("lead"))
-        pairs = mixed.join(second, "band").where("doc <> lead").select(F.least("doc", "lead").alias("src"), F.greatest("doc", "lead").alias("dst")).distinct().join(stars, ["src", "dst"], "left_anti")
+        # each block of a bucket gets the leader, so that a large bucket isn't joined in one place
+        second = second.join(mixed.groupBy("band").agg(F.max("blocks").alias("blocks")), "band").select(
+            "band", "lead", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
+        )
+        pairs = mixed.join(second, ["band", "block"]).where("doc <> lead").select(F.least("doc", "lead").alias("src"), F.greatest("doc", "lead").alias("dst")).distinct().join(stars, ["src", "dst"], "left_anti")
         links = cut(links.union(verify(pairs, texts, limit).select("src", "dst")), "links")
         drop_cut(groups)
         groups = cut(components(links), "groups")
