@@ -124,10 +124,10 @@ def resolved_rows(t: Tables) -> DataFrame:
     return slim.join(raw, ["user_id", "event_id"], "left")
 
 
-@query("k07_pending_games", "SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) ORDER BY c_nationkey, c_custkey")
+@query("k07_pending_games", "SELECT c_custkey, c_nationkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'O') ORDER BY c_nationkey, c_custkey")
 def pending_games(t: Tables) -> DataFrame:
-    """Slate rows that still wait, in order."""
-    return t.customer.join(t.orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey", "c_nationkey").orderBy("c_nationkey", "c_custkey")
+    """Slate rows that still wait, in order: customers without an open order."""
+    return t.customer.join(t.orders.where("o_orderstatus = 'O'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey", "c_nationkey").orderBy("c_nationkey", "c_custkey")
 
 
 SIGNAL = "CASE WHEN value IS NULL THEN 'DATA WARNING' WHEN abs(value - 50) >= 45 THEN 'REVIEW LARGE EDGE' WHEN abs(value - 50) < 10 THEN 'NO EDGE' ELSE 'VALUE' END"
