@@ -31,10 +31,8 @@ the runs that repeat.
 
 from __future__ import annotations
 
-import bisect
 import hashlib
 import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,14 +44,16 @@ from pyspark.sql import functions as F
 from pitlake.llm.common import cut
 
 LENGTH, GRAM = 50, 20
-PACK_BYTES = 2 << 20
-FILTER_BYTES = 6 << 20
-RANGE_BYTES = 4 << 20
-HOT_PACKS = 4096  # an anchor of more packs travels by window
-FAN = 1024  # packs whose windows of such anchors are combined together
+# packs times buckets and packs times ranges are rows of the shuffles, so these are as large as a worker's memory allows; they only place rows
+PACK_BYTES = 8 << 20
+FILTER_BYTES = 24 << 20
+RANGE_BYTES = 8 << 20
+HOT_PACKS = 2048  # an anchor of more packs travels by window
+FAN = 256  # packs whose windows of such anchors are combined together
 SAMPLE_BYTES, SAMPLE_KEYS = 16 << 20, 50_000
 PIECE = 200_000  # windows sorted at once
 CHUNK = 1 << 18  # bytes hashed at once
+MEET = 400_000  # runs of a range made distinct at once
 _U = np.uint64
 _MULT = 0x9E3779B97F4A7C15
 
@@ -134,7 +134,8 @@ class Runs:
         i = np.nonzero(new)[0]
         anchor = p[i].astype(np.int64)
         last = s[np.append(i[1:], len(s)) - 1] if len(i) else s[i]
-        return s[i] + base, last + base, anchor + base, doc[i], h[anchor]
+        # anchors have the least hashes of their windows, which would crowd the first buckets: mixed again they spread evenly
+        return s[i] + base, last + base, anchor + base, doc[i], mix64(h[anchor] ^ _U(_MULT))
 
 
 def texts_of(table: pa.Table) -> list[bytes]:
@@ -226,64 +227,139 @@ def pieces_in_order(data: bytes, at: np.ndarray, length: int, piece: int) -> Ite
     yield from split(np.arange(len(at)), 0)
 
 
-def least_documents(runs: list[bytes], docs: np.ndarray, length: int, gram: int, piece: int = PIECE) -> list[np.ndarray]:
-    """For each run (a byte with the anchor's place, then the text) and each of its windows the smallest document id of equal windows in all runs."""
-    order = sorted(range(len(runs)), key=lambda i: runs[i][1 + runs[i][0] : 1 + runs[i][0] + gram])
-    counts = np.array([len(runs[i]) - length for i in order], np.int64)
-    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(runs)
-    if not order:
-        return out
+def width_of(longest: int) -> int:
+    """Bytes of a run's record: the anchor's place, the number of windows, the text of at most `longest` bytes and zeros, in whole words."""
+    return -(-(2 + longest) // 8) * 8
+
+
+def records(data: np.ndarray, lo: np.ndarray, n: np.ndarray, place: np.ndarray, length: int, width: int) -> np.ndarray:
+    """The records of runs of n windows from each position lo."""
+    longest = width - 2
+    data = np.append(data, np.zeros(longest, np.uint8))
+    every = np.lib.stride_tricks.sliding_window_view(data, longest)
+    out, column = np.empty((len(lo), width), np.uint8), np.arange(longest)
+    for a in range(0, len(lo), 1 << 16):
+        part = slice(a, a + (1 << 16))
+        text = every[lo[part]]
+        text[column >= (n[part] + length - 1)[:, None]] = 0
+        out[part, 2:] = text
+    out[:, 0], out[:, 1] = place, n
+    return out
+
+
+def distinct(recs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of the records by a hash, where in it each distinct record starts, and the number of each record's distinct one.
+
+    Hashes only bring equal records together; neighbours are compared in full. Should two
+    records share a hash, one of them may count as several, which the later steps allow.
+    """
+    words = recs.view(np.uint64)
+    h = np.zeros(len(recs), _U)
+    for k in range(words.shape[1]):
+        h = (h + words[:, k]) * _U(_MULT)
+        h ^= h >> _U(29)
+    order = np.argsort(h, kind="stable")
+    new, h = np.ones(len(recs), bool), h[order]
+    for a in range(1, len(recs), 1 << 16):
+        part = slice(a, a + (1 << 16))
+        tied = a + np.nonzero(h[part] == h[a - 1 : a - 1 + len(h[part])])[0]
+        new[tied] = (words[order[tied]] != words[order[tied - 1]]).any(axis=1)
+    number = np.empty(len(recs), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order, np.nonzero(new)[0], number
+
+
+def least_spans(recs: np.ndarray, docs: np.ndarray, length: int, gram: int, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The smallest document id of equal windows in all runs, by run, as spans of neighbouring windows with one id.
+
+    Gives each run's number of spans and first span, and the spans' windows and ids.
+    """
+    if not len(recs):
+        none = np.zeros(0, np.int64)
+        return none, none, none, none
+    width, data = recs.shape[1], recs.tobytes()
+    base = np.arange(len(recs), dtype=np.int64) * width + 2
+    anchor = np.zeros((len(recs), -(-gram // 8) * 8), np.uint8)
+    anchor[:, :gram] = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, np.uint8), gram)[base + recs[:, 0]]
+    anchor = anchor.view(">u8").astype(_U)
+    order, same = multikey_order([anchor[:, k] for k in range(anchor.shape[1])])
+    counts = recs[order, 1].astype(np.int64)
     # whole anchor groups, several together or one that is larger than a piece
-    starts, total, group, last = [0], 0, 0, None
-    for n, i in enumerate(order):
-        key = runs[i][1 + runs[i][0] : 1 + runs[i][0] + gram]
-        if key != last:
-            if total and total + group > piece:
-                starts.append(first)
-                total = 0
-            total, group, first, last = total + group, 0, n, key
-        group += int(counts[n])
-    if total and total + group > piece:
-        starts.append(first)
-    starts = sorted(set(starts))
-    for lo, hi in zip(starts, [*starts[1:], len(order)]):
-        part = order[lo:hi]
-        data = b"".join([runs[i] for i in part])
-        size = np.array([len(runs[i]) for i in part], np.int64)
-        begin, n = np.cumsum(size) - size + 1, counts[lo:hi]
+    ends = np.append(np.nonzero(~same)[0][1:], len(recs))
+    total = np.cumsum(counts)[ends - 1]
+    cuts, at_group = [0], 0
+    while at_group < len(ends):
+        at_group = max(at_group + 1, int(np.searchsorted(total, (total[at_group - 1] if at_group else 0) + piece, side="right")))
+        cuts.append(int(ends[at_group - 1]))
+    spans_of, spans, ids = [], [], []
+    for lo, hi in zip(cuts, cuts[1:]):
+        part, n = order[lo:hi], counts[lo:hi]
         stop = np.cumsum(n)
-        at = np.arange(stop[-1]) + np.repeat(begin - (stop - n), n)
+        at = np.arange(stop[-1]) + np.repeat(base[part] - (stop - n), n)
         whose = np.repeat(docs[part], n)
-        group_of, lows, border = np.empty(len(at), np.int64), [], None
+        group_of, lows, border, groups = np.empty(len(at), np.int64), [np.zeros(0, np.int64)], None, 0
         for some in pieces_in_order(data, at, length, piece):
             turn, same = multikey_order(window_words(data, at[some], length))
             some = some[turn]
             same[0] = data[at[some[0]] : at[some[0]] + length] == border  # the last window before this piece
             border = data[at[some[-1]] : at[some[-1]] + length]
             heads = np.nonzero(~same)[0]
-            group_of[some] = len(lows) - 1 + np.cumsum(~same)
+            group_of[some] = groups - 1 + np.cumsum(~same)
+            groups += len(heads)
             if same[0]:
-                lows[-1] = min(lows[-1], int(whose[some[: heads[0] if len(heads) else None]].min()))
+                lows[-1][-1] = min(lows[-1][-1], int(whose[some[: heads[0] if len(heads) else None]].min()))
             if len(heads):
-                lows += np.minimum.reduceat(whose[some], heads).tolist()
-        found = np.array(lows, np.int64)[group_of]
-        for i, a, b in zip(part, stop - n, stop):
-            out[i] = found[a:b]
-    return out
+                lows.append(np.minimum.reduceat(whose[some], heads))
+        found = np.concatenate(lows)[group_of]
+        new = np.append(True, found[1:] != found[:-1])
+        new[stop[:-1]] = True
+        first = np.nonzero(new)[0]
+        spans_of.append(np.add.reduceat(new.astype(np.int64), stop - n))
+        spans.append(np.diff(np.append(first, len(found))))
+        ids.append(found[first])
+    k = np.empty(len(recs), np.int64)
+    k[order] = np.concatenate(spans_of)
+    start = np.empty(len(recs), np.int64)
+    start[order] = np.cumsum(k[order]) - k[order]
+    return k, start, np.concatenate(spans), np.concatenate(ids)
 
 
-def range_of(key: bytes, window: bytes | None, splitters: list[bytes], shares: tuple[int, int]) -> int:
-    """The range of an anchor by its leading bytes and a share of it by a hash: of the anchor, or of a window that travels alone; the latter are odd."""
-    burst = window is not None
-    share = zlib.crc32(window if burst else key) % shares[burst]
-    return (bisect.bisect_right(splitters, key) * max(shares) + share) * 2 + burst
+def least_documents(runs: list[bytes], docs: np.ndarray, length: int, gram: int, piece: int = PIECE) -> list[np.ndarray]:
+    """For each run (a byte with the anchor's place, then the text) and each of its windows the smallest document id of equal windows in all runs."""
+    size = np.array([len(r) - 1 for r in runs], np.int64)
+    lo = np.cumsum(size + 1) - size
+    data = np.frombuffer(b"".join(runs), np.uint8)
+    recs = records(data, lo, size - length + 1, data[lo - 1], length, width_of(int(size.max(initial=0))))
+    k, start, spans, ids = least_spans(recs, docs, length, gram, piece)
+    return [np.repeat(ids[a : a + n], spans[a : a + n]) for a, n in zip(start, k)]
+
+
+def splits_of(keys: np.ndarray, splitters: list[bytes], gram: int) -> np.ndarray:
+    """The number of splitters up to each key (rows of gram bytes); keys are told apart by eight bytes, and in full where a splitter begins alike."""
+    if not splitters:
+        return np.zeros(len(keys), np.int64)
+
+    def lead(rows: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(rows), 8), np.uint8)
+        out[:, : min(8, gram)] = rows[:, :8]
+        return out.view(">u8").ravel().astype(_U)
+
+    border = np.frombuffer(b"".join(splitters), np.uint8).reshape(-1, gram)
+    leads, own = lead(border), lead(keys)
+    out, most = np.searchsorted(leads, own), np.searchsorted(leads, own, side="right")
+    close = np.nonzero(out != most)[0]
+    whole = f"S{gram}"  # zeros at the end don't count there, which matters to nothing, as all are of one size
+    out[close] = np.searchsorted(border.copy().view(whole).ravel(), keys[close].view(whole).ravel(), side="right")
+    return out
 
 
 def pack_runs(runs: Runs, ids: np.ndarray, flags: dict[int, tuple[np.ndarray, np.ndarray]], buckets: int, splitters: list[bytes], shares: tuple[int, int], length: int, gram: int):
     """The repeated runs of a pack, each distinct one once, by range.
 
-    Gives the range of each distinct run, its bytes, its smallest document id, and for each
-    occurrence the run, the document number and the first window's start.
+    Gives the range of each distinct run (ascending), its record, its smallest document id, and
+    for each occurrence the run, the document number and the first window's start. A range is one
+    of an anchor by its leading bytes and a share of it by a hash: of the anchor, or of a window
+    that travels alone; the latter are odd.
     """
     h, _, bucket = anchor_lists(runs, ids, buckets)
     dup, hot = np.zeros(len(h), bool), np.zeros(len(h), bool)
@@ -292,37 +368,45 @@ def pack_runs(runs: Runs, ids: np.ndarray, flags: dict[int, tuple[np.ndarray, np
         dup[lo:hi], hot[lo:hi] = bits[: hi - lo], hots[: hi - lo]
     spot = np.searchsorted(h, runs.hash)
     taken = np.nonzero(dup[spot])[0] if len(h) else np.zeros(0, np.int64)
-    number: dict[bytes, int] = {}
-    least: list[int] = []
-    ranges: list[int] = []
-    occ: list[int] = []
-    occ_doc: list[int] = []
-    occ_at: list[int] = []
-    data = runs.data
-    for s, e, p, d, burst in zip(runs.first[taken].tolist(), runs.last[taken].tolist(), runs.anchor[taken].tolist(), runs.doc[taken].tolist(), hot[spot[taken]].tolist()):
-        doc = int(ids[d])
-        for lo, hi in ((x, x) for x in range(s, e + 1)) if burst else ((s, e),):
-            run = bytes((p - lo,)) + data[lo : hi + length]
-            i = number.setdefault(run, len(least))
-            if i == len(least):
-                least.append(doc)
-                ranges.append(range_of(data[p : p + gram], run[1:] if burst else None, splitters, shares))
-            elif doc < least[i]:
-                least[i] = doc
-            occ.append(i)
-            occ_doc.append(d)
-            occ_at.append(lo)
-    return np.array(ranges, np.int64), list(number), np.array(least, np.int64), np.array(occ, np.int64), np.array(occ_doc, np.int64), np.array(occ_at, np.int64)
-
-
-def to_blob(parts: list[bytes]) -> tuple[bytes, bytes]:
-    return np.array([len(p) for p in parts], np.uint16).tobytes(), zstandard.ZstdCompressor(1).compress(b"".join(parts))
-
-
-def from_blob(sizes: bytes, blob: bytes) -> list[bytes]:
-    n, data = np.frombuffer(sizes, np.uint16).astype(np.int64), zstandard.ZstdDecompressor().decompress(blob)
-    ends = np.cumsum(n)
-    return [data[a:b] for a, b in zip((ends - n).tolist(), ends.tolist())]
+    burst, n = hot[spot[taken]] if len(h) else np.zeros(0, bool), runs.last[taken] - runs.first[taken] + 1
+    times = np.where(burst, n, 1)
+    n = np.repeat(np.where(burst, 1, n), times)
+    occ_at = np.repeat(runs.first[taken] - (np.cumsum(times) - times), times) + np.arange(len(n))
+    taken, burst = np.repeat(taken, times), np.repeat(burst, times)
+    anchor, occ_doc = runs.anchor[taken], runs.doc[taken]
+    recs = records(runs.bytes, occ_at, n, anchor - occ_at, length, width_of(2 * length - gram))
+    order, heads, occ = distinct(recs)
+    head = order[heads]
+    least = np.minimum.reduceat(ids[occ_doc[order]], heads) if len(heads) else np.zeros(0, np.int64)
+    recs, burst = recs[head], burst[head]
+    split = np.zeros(0, np.int64)
+    if len(head):
+        split = splits_of(np.lib.stride_tricks.sliding_window_view(runs.bytes, gram)[anchor[head]], splitters, gram)
+    share = (runs.hash[taken[head]] % _U(shares[0])).astype(np.int64)
+    if shares[1] > 1 and burst.any():
+        one = gram_hashes(recs[burst, 2 : 2 + length].ravel(), length)[::length]
+        share[burst] = (one % _U(shares[1])).astype(np.int64)
+    else:
+        share[burst] = 0
+    where = (split * max(shares) + share) * 2 + burst
+    by = np.argsort(where, kind="stable")
+    turned = np.empty(len(by), np.int64)
+    turned[by] = np.arange(len(by))
+    return where[by], recs[by], least[by], turned[occ], occ_doc, occ_at
+
+
+def to_blob(recs: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(1).compress(recs.tobytes())
+
+
+def from_blob(blob: bytes, width: int) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(-1, width)
+
+
+def ranges_in(where: np.ndarray) -> list[tuple[int, int, int]]:
+    """Each range of an ascending list, and from where to where it goes."""
+    cuts = np.nonzero(np.append(True, where[1:] != where[:-1]))[0] if len(where) else np.zeros(0, np.int64)
+    return list(zip(where[cuts].tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(where)]))
 
 
 def flags_of(table: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -341,7 +425,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     * rows with a null id are neither compared nor changed.
     * other columns are ignored; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
+    spark, width = docs.sparkSession, width_of(2 * length - gram)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.encode(F.col(text_col).cast("string"), "UTF-8"), F.lit(b"")).alias("data"))
     total = own.agg(F.sum(F.octet_length("data"))).collect()[0][0] or 0
     packs, buckets, ranges = (max(4, math.ceil(total / x)) for x in (pack_bytes, FILTER_BYTES, RANGE_BYTES))
@@ -389,20 +473,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     flags = lists.groupBy("bucket").applyInArrow(meet, "pack long, bucket long, dup binary, hot binary")
 
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {"range": [], "pack": [], "sizes": [], "blob": [], "docs": []}
+        out = {"range": [], "pack": [], "blob": [], "docs": []}
         if left.num_rows:
             runs, ids, _ = comparable(in_order(left))
-            where, parts, least, *_ = pack_runs(runs, ids, flags_of(right), buckets, shared.value, shares, length, gram)
-            order = np.argsort(where, kind="stable")
-            cuts = np.nonzero(np.append(True, where[order][1:] != where[order][:-1]))[0] if len(order) else []
-            for a, b in zip(cuts, [*cuts[1:], len(order)]):
-                sizes, blob = to_blob([parts[i] for i in order[a:b]])
-                for k, v in zip(out, (int(where[order[a]]), left.column("pack")[0].as_py(), sizes, blob, least[order[a:b]].tobytes())):
+            where, recs, least, *_ = pack_runs(runs, ids, flags_of(right), buckets, shared.value, shares, length, gram)
+            pack = left.column("pack")[0].as_py()
+            for r, a, b in ranges_in(where):
+                for k, v in zip(out, (r, pack, to_blob(recs[a:b]), least[a:b].tobytes())):
                     out[k].append(v)
-        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
         return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), kinds)})
 
-    sent = text.groupBy("pack").cogroup(flags.groupBy("pack")).applyInArrow(send, "range long, pack long, sizes binary, blob binary, docs binary")
+    sent = text.groupBy("pack").cogroup(flags.groupBy("pack")).applyInArrow(send, "range long, pack long, blob binary, docs binary")
 
     group = F.floor(F.col("pack") / fan).alias("group")  # of packs
     combine_too = packs > hot_packs  # else no anchor is in so many packs
@@ -410,70 +492,76 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
         sent = cut(sent, "sent")
         single = sent.where("range % 2 = 1").withColumn("group", group)
 
-    def distinct_runs(table: pa.Table) -> tuple[dict[bytes, int], list[int], list[tuple[np.ndarray, list[int]]]]:
-        """Runs by number, their smallest document ids, and for each row its own ids and the numbers of its runs."""
-        number: dict[bytes, int] = {}
-        every, least = [], []
-        for sizes, blob, docs_ in zip(*(table.column(c).to_pylist() for c in ("sizes", "blob", "docs"))):
-            own_docs, index = np.frombuffer(docs_, np.int64), []
-            for run, d in zip(from_blob(sizes, blob), own_docs.tolist()):
-                i = number.setdefault(run, len(least))
-                if i == len(least):
-                    least.append(d)
-                elif d < least[i]:
-                    least[i] = d
-                index.append(i)
-            every.append((own_docs, index))
-        return number, least, every
+    def distinct_runs(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct runs and their smallest document ids; for the runs of all rows their own ids and the numbers of their distinct ones; where rows end."""
+        docs_ = [np.frombuffer(x, np.int64) for x in table.column("docs").to_pylist()]
+        ends, own = np.cumsum([len(x) for x in docs_]), np.concatenate(docs_)
+        recs, least, numbers, waiting, size, known = [], [], [], [], 0, 0
+
+        def settle_some() -> None:
+            nonlocal size, known
+            some = np.concatenate(waiting)
+            done = sum(map(len, numbers))
+            order, heads, number = distinct(some)
+            recs.append(some[order[heads]])
+            least.append(np.minimum.reduceat(own[done : done + len(some)][order], heads))
+            numbers.append(number + known)
+            known, size = known + len(heads), 0
+            waiting.clear()
+
+        blobs = table.column("blob")
+        for i in range(table.num_rows):
+            waiting.append(from_blob(blobs[i].as_py(), width))
+            size += len(waiting[-1])
+            if size >= MEET or i == table.num_rows - 1:
+                settle_some()
+        if len(recs) == 1:
+            return recs[0], least[0], own, numbers[0], ends
+        some, low = np.concatenate(recs), np.concatenate(least)
+        recs.clear()
+        order, heads, number = distinct(some)
+        return some[order[heads]], np.minimum.reduceat(low[order], heads), own, number[np.concatenate(numbers)], ends
+
+    def answer_rows(table: pa.Table, n: np.ndarray, spans: np.ndarray, lows: np.ndarray, ends: np.ndarray) -> pa.Table:
+        """What each row is told: spans of each of its runs (none if nothing is new), their windows and ids."""
+        upto, rows, press = np.append(0, np.cumsum(n)), ([], [], []), zstandard.ZstdCompressor(1)
+        n, spans = n.astype(np.uint8), spans.astype(np.uint8)
+        for a, b in zip([0, *ends[:-1].tolist()], ends.tolist()):
+            rows[0].append(n[a:b].tobytes())
+            rows[1].append(spans[upto[a] : upto[b]].tobytes())
+            rows[2].append(press.compress(lows[upto[a] : upto[b]].tobytes()))
+        return pa.table({"pack": table.column("pack"), "range": table.column("range")} | {k: pa.array(v, pa.binary()) for k, v in zip(("n", "spans", "lows"), rows)})
 
     def combine(table: pa.Table) -> pa.Table:
         """The single windows of a group of packs as one row; its pack is below zero."""
-        number, least, _ = distinct_runs(table.sort_by("pack"))
-        sizes, blob = to_blob(list(number))
-        row = {"range": table.column("range")[0].as_py(), "pack": -1 - table.column("group")[0].as_py(), "sizes": sizes, "blob": blob, "docs": np.array(least, np.int64).tobytes()}
-        return pa.table({k: pa.array([v], t) for (k, v), t in zip(row.items(), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))})
+        recs, least, *_ = distinct_runs(table.sort_by("pack"))
+        row = {"range": table.column("range")[0].as_py(), "pack": -1 - table.column("group")[0].as_py(), "blob": to_blob(recs), "docs": least.tobytes()}
+        return pa.table({k: pa.array([v], t) for (k, v), t in zip(row.items(), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))})
 
     def hand_out(members: pa.Table, answer: pa.Table) -> pa.Table:
         """What a group of packs was told, for each of its packs."""
         if not members.num_rows or not answer.num_rows:
             return pa.table({n: pa.array([], t) for n, t in zip(("pack", "range", "n", "spans", "lows"), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))})
         members = members.sort_by("pack")
-        _, least, every = distinct_runs(members)
-        low = np.array(least, np.int64)
+        _, least, own_docs, number, ends = distinct_runs(members)
+        low = least.copy()
         told = np.frombuffer(answer.column("n")[0].as_py(), np.uint8).astype(bool)
         low[told] = np.frombuffer(zstandard.ZstdDecompressor().decompress(answer.column("lows")[0].as_py()), np.int64)
-        rows = []
-        for own_docs, index in every:
-            found = low[index]
-            news = found != own_docs
-            rows.append((news.astype(np.uint8).tobytes(), np.ones(int(news.sum()), np.uint8).tobytes(), zstandard.ZstdCompressor(1).compress(found[news].tobytes())))
-        return pa.table({
-            "pack": members.column("pack"), "range": members.column("range"), "n": pa.array([r[0] for r in rows], pa.binary()),
-            "spans": pa.array([r[1] for r in rows], pa.binary()), "lows": pa.array([r[2] for r in rows], pa.binary()),
-        })
+        found = low[number]
+        news = found != own_docs
+        return answer_rows(members, news.astype(np.int64), np.ones(int(news.sum()), np.int64), found[news], ends)
 
     def sort_range(table: pa.Table) -> pa.Table:
-        number, least, every = distinct_runs(table)
-        found = least_documents(list(number), np.array(least, np.int64), length, gram)
-        told = []  # each distinct run's windows as (count, smallest id) runs
-        for x in found:
-            at = np.nonzero(np.append(True, x[1:] != x[:-1]))[0]
-            told.append((np.diff(np.append(at, len(x))), x[at]))
-        rows = []
-        for own_docs, index in every:
-            n = np.array([0 if len(told[i][1]) == 1 and told[i][1][0] == d else len(told[i][1]) for i, d in zip(index, own_docs.tolist())], np.uint8)
-            used = [told[i] for i, k in zip(index, n) if k]
-            spans = np.concatenate([u[0] for u in used]) if used else np.zeros(0)
-            lows = np.concatenate([u[1] for u in used]) if used else np.zeros(0)
-            rows.append((n.tobytes(), spans.astype(np.uint8).tobytes(), zstandard.ZstdCompressor(1).compress(lows.astype(np.int64).tobytes())))
-        return pa.table({
-            "pack": table.column("pack"), "range": table.column("range"), "n": pa.array([r[0] for r in rows], pa.binary()),
-            "spans": pa.array([r[1] for r in rows], pa.binary()), "lows": pa.array([r[2] for r in rows], pa.binary()),
-        })
+        recs, least, own_docs, number, ends = distinct_runs(table)
+        k, start, spans, lows = least_spans(recs, least, length, gram)
+        n, first = k[number], start[number]
+        n[(n == 1) & (lows[first] == own_docs)] = 0
+        at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return answer_rows(table, n, spans[at], lows[at], ends)
 
     told = "pack long, range long, n binary, spans binary, lows binary"
     if combine_too:
-        fewer = single.groupBy("range", "group").applyInArrow(combine, "range long, pack long, sizes binary, blob binary, docs binary")
+        fewer = single.groupBy("range", "group").applyInArrow(combine, "range long, pack long, blob binary, docs binary")
         answers = sent.where("range % 2 = 0").unionByName(fewer).groupBy("range").applyInArrow(sort_range, told)
         answers = cut(answers, "answers")
         for_groups = answers.where("pack < 0").withColumn("group", -1 - F.col("pack"))
@@ -489,21 +577,20 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     def settle(left: pa.Table, right: pa.Table) -> pa.Table:
         left = in_order(left)
         runs, ids, texts = comparable(left)
-        where, parts, least, occ, occ_doc, occ_at = pack_runs(runs, ids, flags_of(right), buckets, shared.value, shares, length, gram)
-        order = np.argsort(where, kind="stable")
-        n_of, first_of, spans, lows = np.ones(len(parts), np.int64), np.zeros(len(parts), np.int64), [], []
+        where, recs, least, occ, occ_doc, occ_at = pack_runs(runs, ids, flags_of(right), buckets, shared.value, shares, length, gram)
         # by default a run's own smallest document is the smallest of all its windows
-        base_spans, base_lows = np.array([len(p) - length for p in parts], np.int64), least
-        first_of[:] = np.arange(len(parts))
-        size = len(parts)
+        base_spans, base_lows, size = recs[:, 1].astype(np.int64), least, len(recs)
+        del recs
+        n_of, first_of, spans, lows = np.ones(size, np.int64), np.arange(size), [], []
+        place = {r: (a, b) for r, a, b in ranges_in(where)}
         for r, n, s, w in zip(*(right.column(c).to_pylist() for c in ("range", "n", "spans", "lows"))):
             if r is None:
                 continue
-            mine = order[np.searchsorted(where[order], r) : np.searchsorted(where[order], r, side="right")]
+            a, b = place[r]
             n = np.frombuffer(n, np.uint8).astype(np.int64)
             told = n > 0
-            n_of[mine[told]] = n[told]
-            first_of[mine[told]] = size + np.cumsum(n)[told] - n[told]
+            n_of[a:b][told] = n[told]
+            first_of[a:b][told] = size + np.cumsum(n)[told] - n[told]
             spans.append(np.frombuffer(s, np.uint8).astype(np.int64))
             lows.append(np.frombuffer(zstandard.ZstdDecompressor().decompress(w), np.int64))
             size += len(spans[-1])
@@ -520,7 +607,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
         edge = np.zeros(len(runs.data) + 1, np.int32)
         np.add.at(edge, lo[gone], 1)
         np.add.at(edge, lo[gone] + spans[at][gone] - 1 + length, -1)
-        mask = np.cumsum(edge)[:-1] > 0
+        mask = np.cumsum(edge, dtype=np.int32)[:-1] > 0
         out = {"doc_id": left.column("doc_id").to_pylist(), "n_bytes": [len(t) for t in texts], "n_removed": [], "n_spans": [], "kept_sha256": []}
         if with_text:
             out["kept"] = []

@@ -127,3 +127,49 @@ def test_rows_of_a_pack_have_one_order():
     rows = [(3, b"c"), (None, b"z"), (1, b"b"), (1, b"a"), (None, None), (0, b"q")]
     got = [s.in_order(pa.table({"doc_id": pa.array([r[0] for r in x], pa.int64()), "data": pa.array([r[1] for r in x], pa.binary())})).to_pydict() for x in (rows, rows[::-1])]
     assert got[0] == got[1]
+
+
+def test_anchors_spread_over_buckets():
+    text = bytes(np.random.default_rng(3).integers(97, 123, 200_000).astype(np.uint8))
+    _, _, bucket = s.anchor_lists(s.Runs([text], 50, 20), np.array([1]), 64)
+    n = np.bincount(bucket, minlength=64)
+    assert n.min() > n.mean() / 2 and n.max() < n.mean() * 2
+
+
+def test_rows_between_packs_and_ranges():
+    """At 6 GB of files (10.4 GB of text) packs and ranges exchange at most two million rows, packs and buckets one."""
+    text = 10.4e9
+    assert text / s.PACK_BYTES * text / s.RANGE_BYTES < 2e6
+    assert text / s.PACK_BYTES * text / s.FILTER_BYTES < 1e6
+
+
+def test_runs_of_a_range_made_distinct_in_parts(spark, monkeypatch):
+    rng = random.Random(7)
+    rows = corpus(rng, "abc é", 60, 300)
+    want = brute(rows, 50)
+    for hot in (2, 1000):
+        for meet in (1, 40):
+            monkeypatch.setattr(s, "MEET", meet, raising=False)
+            assert run(spark, rows, pack_bytes=800, hot_packs=hot, fan=3) == want
+
+
+def test_distinct_compares_records_in_full(monkeypatch):
+    rng = np.random.default_rng(4)
+    recs = rng.integers(0, 2, (500, 16)).astype(np.uint8)
+    recs[:, 3:] = 0
+    for mult in (s._MULT, 0):  # with 0 all hashes are alike
+        monkeypatch.setattr(s, "_MULT", mult)
+        order, heads, number = s.distinct(recs)
+        kept = recs[order[heads]]
+        assert (kept[number] == recs).all()
+        assert mult == 0 or len(heads) == len({r.tobytes() for r in recs})
+
+
+def test_ranges_by_splitters():
+    rng = random.Random(8)
+    for gram in (5, 20):
+        keys = [bytes(rng.choices(b"ab\0", k=gram)) for _ in range(400)]
+        splitters = sorted(set(keys[:40]))
+        rows = np.frombuffer(b"".join(keys), np.uint8).reshape(-1, gram)
+        assert s.splits_of(rows, splitters, gram).tolist() == [sum(x <= k for x in splitters) for k in keys]
+        assert s.splits_of(rows, [], gram).tolist() == [0] * len(keys)
