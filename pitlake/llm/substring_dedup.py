@@ -52,7 +52,7 @@ HOT_PACKS = 2048  # an anchor of more packs travels by window
 FAN = 256  # packs whose windows of such anchors are combined together
 SAMPLE_BYTES, SAMPLE_KEYS = 16 << 20, 50_000
 PIECE = 200_000  # windows sorted at once
-CHUNK = 1 << 18  # bytes hashed at once
+CHUNK = 1 << 16  # bytes hashed at once
 MEET = 400_000  # runs of a range made distinct at once
 _U = np.uint64
 _MULT = 0x9E3779B97F4A7C15
@@ -81,16 +81,15 @@ def gram_hashes(b: np.ndarray, k: int) -> np.ndarray:
 
 
 def least_in_window(h: np.ndarray, w: int) -> np.ndarray:
-    """For each position the place of the least of the w values from there on, the leftmost of equals."""
-    val, at, span = (h >> _U(32)).astype(np.uint32), np.arange(len(h), dtype=np.int32), 1
+    """For each position the place of the least of the w values from there on by their leading 32 bits, the leftmost of equals."""
+    key, span = (h & _U(0xFFFFFFFF << 32)) | np.arange(len(h), dtype=_U), 1
     while span * 2 <= w:
-        left = val[:-span] <= val[span:]
-        at, val = np.where(left, at[:-span], at[span:]), np.minimum(val[:-span], val[span:])
+        key = np.minimum(key[:-span], key[span:])
         span *= 2
     if span < w:
         d = w - span
-        at = np.where(val[:-d] <= val[d:], at[:-d], at[d:])
-    return at
+        key = np.minimum(key[:-d], key[d:])
+    return (key & _U(0xFFFFFFFF)).astype(np.int64)
 
 
 class Runs:
@@ -132,7 +131,7 @@ class Runs:
         new = np.ones(len(s), bool)
         new[1:] = (p[1:] != p[:-1]) | (doc[1:] != doc[:-1])
         i = np.nonzero(new)[0]
-        anchor = p[i].astype(np.int64)
+        anchor = p[i]
         last = s[np.append(i[1:], len(s)) - 1] if len(i) else s[i]
         # anchors have the least hashes of their windows, which would crowd the first buckets: mixed again they spread evenly
         return s[i] + base, last + base, anchor + base, doc[i], mix64(h[anchor] ^ _U(_MULT))
